@@ -5,8 +5,9 @@ have a common neighbour at distance 1 or less, so every fingerprint enters the 3
 segments into one table, and fingerprints that meet under a key are the candidates; their complete distance is
 verified. Keys hold 32 bits, so chance meetings stay rare however many fingerprints there are.
 
-Under a key of few fingerprints the pairs are compared outright. Under a fuller key (a large group of near copies)
-pairs would grow with the square of the group. There each fingerprint enters its ball of radius 2 over all 64 bits:
+Under a key each fingerprint is compared with the FULL_KEY before it, which are all pairs of a key of ordinary size, and the
+rows need to be dealt out and sorted only once. Under a fuller key (a very large group of near copies) comparing all pairs
+would grow with the square of the group. There each fingerprint enters its ball of radius 2 over all 64 bits:
 two fingerprints share a key of that kind if and only if they differ by 4 bits or fewer, and a star of links under
 each key joins what belongs together. Such a key is shared by 2,081 fingerprints at most. No candidate is dropped.
 """
@@ -25,8 +26,8 @@ from . import scratch
 from .components import connected_components
 
 MAX_BITS = 4
-#: Keys with more fingerprints than this take the way by balls over all bits.
-FULL_KEY = 24
+#: Keys with more fingerprints than this take the way by balls over all bits, which costs each of them 2,081 keys.
+FULL_KEY = 512
 SEED = 42
 _PIECE = 1 << 17
 
@@ -69,40 +70,36 @@ def _balls(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(high, low)).alias("own")).select("fp", "own", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
 
 
-def _distance(a, b):
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def _wide_masks() -> list[int]:
     bits = [1 << i for i in range(64)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return [0, *map(signed, bits), *(signed(a | b) for a, b in combinations(bits, 2))]
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, full_key: int = FULL_KEY) -> DataFrame:
     """(src, dst) between distinct fingerprints of column fp: every pair within max_bits is joined by a chain of
     returned links, each of which is such a pair or (in full keys) two such pairs through one fingerprint's key."""
     if max_bits not in (0, 2, 4):
         raise ValueError("max_bits is 0, 2 or 4: two segments with balls of radius 1 reach no further")
-    rows = _balls(prints)
-    met = scratch.cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
-    two = met.where("n = 2").select("a", "b")
-    some = met.where(f"n > 2 and n <= {FULL_KEY}").select("key")
-    gathered = rows.join(some, "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fp", "own"))).alias("at"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _balls(prints.select("fp").repartition(parts, "fp"))
+    under = Window.partitionBy("key").orderBy("fp")
+    before = F.collect_list(F.struct("fp", "own")).over(under.rowsBetween(-full_key, -1))
+    met = rows.withColumn("before", before).withColumn("n", F.row_number().over(under))
     # A pair whose segment values are equal meets under 33 keys; it counts under the value itself.
-    pairs = F.expr("flatten(transform(at, (x, i) -> transform(filter(slice(at, i + 2, size(at)), y -> bit_count(x.fp ^ y.fp) <= %d and (x.own <> y.own or x.own = key)), y -> struct(x.fp as a, y.fp as b))))" % max_bits)
-    several = gathered.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    close = two.unionByName(several).where(_distance(F.col("a"), F.col("b")) <= max_bits)
-
-    full = met.where(f"n > {FULL_KEY}").select("key")
-    dense = rows.join(full, "key").select("fp").distinct()
+    near = F.expr(f"transform(filter(before, y -> bit_count(fp ^ y.fp) <= {max_bits} and (own <> y.own or own = key)), y -> y.fp)")
+    # Beyond full_key a row stands for itself and those before it: the members of its key.
+    full = F.when(F.col("n") > full_key, F.concat(F.array("fp"), F.transform("before", lambda y: y["fp"])))
+    found = scratch.cut(met.where("n > 1").select("fp", near.alias("near"), full.alias("full")).where("size(near) > 0 or full is not null"), "met")
+    close = found.select(F.col("fp").alias("b"), F.explode("near").alias("a"))
+    dense = found.select(F.explode("full").alias("fp")).distinct()
     masks = F.array(*[F.lit(m).cast("long") for m in _wide_masks() if (m & (2**64 - 1)).bit_count() <= max_bits // 2])
     ball = dense.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"))
     star = ball.select(F.col("fp").alias("b"), F.min("fp").over(Window.partitionBy("at")).alias("a")).where("a <> b")
-    return close.unionByName(star.select("a", "b")).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return close.select("a", "b").unionByName(star.select("a", "b")).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS, full_key: int = FULL_KEY) -> DataFrame:
     """(id_col, fingerprint, component_id): the group of every row whose id is not null.
 
     component_id is the smallest id that links reach. Null and wordless texts have fingerprint zero and link like any
@@ -111,7 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = scratch.cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words), "prints")
     each = scratch.cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "each")
-    found = connected_components(links(each.select("fp"), max_bits))
+    found = connected_components(links(each.select("fp"), max_bits, full_key))
     joined = each.join(found, each.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first_id")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     root_of = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
