@@ -122,9 +122,9 @@ def kg_stats(spark, place):
     return graph_build.stats(n, e, identity(spark, n))
 
 
-@query(f"""WITH {PARTS} SELECT name, CAST(rank AS INTEGER) AS rank, CAST(task_count AS INTEGER) AS task_count FROM (SELECT name, task_count, CASE WHEN name = 'steel' THEN 0 WHEN name ILIKE 'steel%' THEN 1 WHEN p_brand = 'steel' OR p_type = 'steel' THEN 2 WHEN p_brand ILIKE 'steel%' OR p_type ILIKE 'steel%' THEN 3 WHEN name ILIKE '%steel%' THEN 4 ELSE 5 END AS rank FROM pn WHERE name ILIKE '%steel%' OR p_brand ILIKE '%steel%' OR p_type ILIKE '%steel%') ORDER BY rank, length(name), task_count DESC, name LIMIT 20""")
+@query(f"""WITH {PARTS} SELECT name, CAST(rank AS INTEGER) AS rank, CAST(task_count AS INTEGER) AS task_count FROM (SELECT name, task_count, CASE WHEN name = 'widget' THEN 0 WHEN name ILIKE 'widget%' THEN 1 WHEN p_brand = 'widget' OR p_type = 'widget' THEN 2 WHEN p_brand ILIKE 'widget%' OR p_type ILIKE 'widget%' THEN 3 WHEN name ILIKE '%widget%' THEN 4 ELSE 5 END AS rank FROM pn WHERE name ILIKE '%widget%' OR p_brand ILIKE '%widget%' OR p_type ILIKE '%widget%') ORDER BY rank, length(name), task_count DESC, name LIMIT 20""")
 def entity_search_ranked(spark, place):
-    return graph_query.search_ranked(part_nodes(spark, place), "steel")
+    return graph_query.search_ranked(part_nodes(spark, place), "widget")
 
 
 @query(f"""WITH {PARTS}, pick AS (SELECT lower(min(p_brand)) AS q FROM part) SELECT name, CAST(task_count AS INTEGER) AS task_count FROM pn, pick WHERE lower(name) = q OR lower(p_brand) = q OR lower(p_type) = q ORDER BY task_count DESC, name LIMIT 20""")

@@ -141,8 +141,8 @@ def hybrid_cross_collection(spark, place):
 
 
 CENTRES = """cent AS (SELECT source AS doc, list(v ORDER BY i) AS e FROM (SELECT source, i, avg(x) AS v FROM (SELECT source, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM documents JOIN embeddings ON vec_id = doc_id) GROUP BY source, i) GROUP BY source)"""
-THREE = f"""{CENTRES}, {dense_sql('d', 25, HYBRID_Q, 'SELECT doc, e FROM cent')}, {bm25_sql('u', '(SELECT doc_id, substr(text, 1, 200) AS summary FROM documents)', 'doc_id', 'summary', 75)}, {roll_sql('ut', 'utop')},
- {bm25_sql('x', 'documents', 'doc_id', 'text', 75)}, {roll_sql('xt', 'xtop')}, {rrf_sql('inn', 'ut', 'xt')}, {rrf_sql('f', 'dtop', 'inn')}"""
+THREE = f"""{CENTRES}, {dense_sql('d', 25, HYBRID_Q, 'SELECT doc, e FROM cent')}, {bm25_sql('u', '(SELECT doc_id, substr(text, 1, 200) AS summary FROM documents)', 'doc_id', 'summary', 75)}, {roll_sql('utask', 'utop')},
+ {bm25_sql('x', 'documents', 'doc_id', 'text', 75)}, {roll_sql('xtask', 'xtop')}, {rrf_sql('inn', 'utask', 'xtask')}, {rrf_sql('f', 'dtop', 'inn')}"""
 
 
 def corpus(spark, place, hooks: Hooks | None = None) -> plans.Corpus:
@@ -208,14 +208,14 @@ def budget_pack(spark, place):
     return summary.pack(items).select("query", "rank", "truncated", F.col("used_tokens").cast("bigint").alias("used_tokens"))
 
 
-@query("""SELECT o_orderkey AS task, list(p_name ORDER BY l_linenumber) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey AS task, list(p_name ORDER BY l_linenumber, l_partkey) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
 def chunk_expand(spark, place):
     lines = tables.read(spark, place, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("chunk_ids"))
     chunks = tables.read(spark, place, "part").select(F.col("p_partkey").alias("chunk"), F.col("p_name").alias("content"))
     return summary.expand_chunks(lines, chunks).select("task", F.transform("chunks", lambda c: c["preview"]).alias("names"))
 
 
-@query("""SELECT o_orderkey AS task, string_agg(p_name, chr(10) ORDER BY l_linenumber) AS content FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey AS task, string_agg(p_name, chr(10) ORDER BY l_linenumber, l_partkey) AS content FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
 def chunk_content(spark, place):
     lines = tables.read(spark, place, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("chunk_ids"))
     chunks = tables.read(spark, place, "part").select(F.col("p_partkey").alias("chunk"), F.col("p_name").alias("summary"), F.col("p_name").alias("content"))
@@ -245,8 +245,8 @@ def neighbor_pairs(spark, place):
 
 
 @query(f"""WITH {bm25_sql('', 'documents', 'doc_id', 'text', 20)}, kw AS (SELECT item_id AS query, unnest(list_slice(list_distinct({TOKENS.format(c='text')}), 1, 1000)) AS word FROM benchmark),
- h AS (SELECT t.query, t.rank, contains(lower(d.source || ' ' || d.lang), word) AS label, contains(lower(d.source || ' ' || d.lang), word) OR contains(lower(d.text), word) AS either FROM top t JOIN documents d ON d.doc_id = t.doc JOIN kw ON kw.query = t.query WHERE length(word) > 1),
- r AS (SELECT query, bool_or(either AND rank <= 5) AS nominal, coalesce(min(rank) FILTER (label) <= 5, false) AS effective FROM h GROUP BY query) SELECT query, nominal, effective, nominal AND NOT effective AS drift FROM r""")
+ hit AS (SELECT t.query, t.rank, contains(lower(d.source || ' ' || d.lang), word) AS label, contains(lower(d.source || ' ' || d.lang), word) OR contains(lower(d.text), word) AS either FROM top t JOIN documents d ON d.doc_id = t.doc JOIN kw ON kw.query = t.query WHERE length(word) > 1),
+ rate AS (SELECT query, bool_or(either AND rank <= 5) AS nominal, coalesce(min(rank) FILTER (label) <= 5, false) AS effective FROM hit GROUP BY query) SELECT query, nominal, effective, nominal AND NOT effective AS drift FROM rate""")
 def retrieval_hit_rate(spark, place):
     docs = tables.read(spark, place, "documents")
     tasks = docs.select(F.col("doc_id").alias("doc"), F.concat_ws(" ", "source", "lang").alias("label"), F.col("text").alias("summary"))
