@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 _NONE = 1 << 60
-#: Pieces up to this many bytes are remembered by a worker, up to this many of them.
-_SHORT, _REMEMBERED = 48, 1 << 19
+#: Pieces up to this many bytes are remembered by a worker, up to this many of them in each of two generations.
+_SHORT, _REMEMBERED = 48, 1 << 18
 _MANY = 1 << 20
 
 
@@ -88,14 +88,19 @@ class Codec(dict):
         super().__init__()
         self.ranks, self.pieces = ranks, regex.compile(pattern)
         self.bytes_of = {b: a for a, b in ranks.items()}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = tuple(merge_piece(raw, self.ranks))
-        if len(raw) <= _SHORT:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = tuple(merge_piece(raw, self.ranks))
+            if len(raw) > _SHORT:
+                return ids
+        if len(self) >= _REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> array:
@@ -167,7 +172,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
             for lo in range(0, whole.num_rows, batch):
                 part = whole.slice(lo, batch)
                 ids = part.column(1)
-                text = [codec.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids]
+                text = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(text, pa.binary())], names=schema.names)
 
     return tokens.select(id_col, ids_col).mapInArrow(run, schema)
