@@ -63,13 +63,14 @@ def count_tokens(c: Column | str) -> Column:
 
 
 def safe_truncate(c: Column | str, max_tokens: Column | int, head_ratio: float = 0.7) -> Column:
-    """Text over the budget keeps its head and tail: floor(budget / 0.75) characters, 70 % of them at the head."""
+    """Text over the budget keeps its head and tail: floor(budget / 0.75) characters with the marker, 70 % of them at the head; a
+    budget that the marker alone would fill keeps the head only."""
     text, budget = col(c), max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)
     chars = F.floor(budget / F.lit(0.75)).cast("int")
-    head = F.floor(chars * F.lit(head_ratio)).cast("int")
+    head = F.least(F.floor(chars * F.lit(head_ratio)).cast("int"), F.greatest(chars - F.lit(len(TRUNCATED)), F.lit(0)))
     tail = F.greatest(chars - head - F.lit(len(TRUNCATED)), F.lit(0))
     cut = F.concat(F.substring(text, F.lit(1), head), F.lit(TRUNCATED), F.when(tail > 0, F.right(text, tail)).otherwise(F.lit("")))
-    return F.when(count_tokens(text) <= budget, text).otherwise(cut)
+    return F.when(count_tokens(text) <= budget, text).when(chars <= len(TRUNCATED), F.substring(text, F.lit(1), chars)).otherwise(cut)
 
 
 def call_line(label: str, call: Column) -> Column:

@@ -18,9 +18,18 @@ ENTITY = "name string, entity_type string, canonical_name string, source_tasks a
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
-    """Rows of a JSON file; blank and broken lines are skipped."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", multiline).json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    """Rows of a file of JSON lines, or (multiline) of one array or object; blank and broken ones are skipped."""
+    lines = spark.read.option("wholetext", multiline).text(path)
+    if multiline:
+        plain = schema.replace(", _corrupt_record string", "")
+        return lines.select(F.explode(F.from_json("value", f"array<struct<{_colons(plain)}>>")).alias("r")).where("r is not null").select("r.*")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.where(F.trim("value") != "").select(parsed.alias("r")).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+
+
+def _colons(schema: str) -> str:
+    """name type, name type -> name:type,name:type (types hold no space)."""
+    return ",".join(part.replace(" ", ":", 1) for part in schema.split(", "))
 
 
 def _call(c: Column) -> Column:
