@@ -9,6 +9,7 @@ shuffled, where adaptive execution splits the hot hashes.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,12 +37,9 @@ def _keyed(text: str | None, least_chars: int):
 
 
 def _halves(digests: list[bytes]) -> list[pa.Array]:
-    flat = pa.py_buffer(b"".join(digests))
-    both = pa.Array.from_buffers(pa.int64(), 2 * len(digests), [None, flat])
-    import numpy as np
-
-    a = both.to_numpy(zero_copy_only=True)
-    return [pa.array(np.ascontiguousarray(a[0::2])), pa.array(np.ascontiguousarray(a[1::2]))]
+    """The 128-bit digests as two columns of 64 bits."""
+    both = np.frombuffer(b"".join(digests), dtype=np.int64)
+    return [pa.array(np.ascontiguousarray(both[k::2])) for k in (0, 1)]
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20) -> DataFrame:
@@ -73,17 +71,23 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def common_lines(hashes: DataFrame, id_col: str = "doc_id", least_docs: int = 3) -> DataFrame:
     """(h1, h2, n_docs, last_id) of the hashes that least_docs distinct ids or more hold. hashes has no null id."""
     once = hashes.groupBy("h1", "h2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("last_id"), F.count("*").alias("n"))
-    maybe = once.where((F.col("n") >= least_docs) & (F.col("first") < F.col("last_id"))).select("h1", "h2")
-    return hashes.join(maybe, ["h1", "h2"], "left_semi").groupBy("h1", "h2", id_col).agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max(id_col).alias("last_id")).where(F.col("n_docs") >= least_docs)
+    maybe = scratch.cut(once.where((F.col("n") >= least_docs) & (F.col("first") < F.col("last_id"))).select("h1", "h2"), "maybe")
+    some = hashes.join(_small(maybe), ["h1", "h2"], "left_semi")
+    # Dealt by document too, so that a hash which a third of all documents hold is spread before it is counted.
+    by_doc = some.repartition("h1", "h2", id_col).groupBy("h1", "h2", id_col).agg(F.count("*").alias("n"))
+    return by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max(id_col).alias("last_id")).where(F.col("n_docs") >= least_docs)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if its counted rows fit the bound."""
+    return F.broadcast(table) if table.count() * 24 <= BROADCAST_BYTES else table
 
 
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """(id_col, gone): for each document that loses lines, the positions of these lines."""
     hashes = scratch.cut(line_hashes(docs.where(F.col(id_col).isNotNull()), id_col, text_col, least_chars), "lines")
     common = scratch.cut(common_lines(hashes, id_col, least_docs), "common")
-    if common.count() * 24 <= BROADCAST_BYTES:
-        common = F.broadcast(common)
-    lost = hashes.join(common.select("h1", "h2", "last_id"), ["h1", "h2"]).where(F.col(id_col) != F.col("last_id"))
+    lost = hashes.join(_small(common.select("h1", "h2", "last_id")), ["h1", "h2"]).where(F.col(id_col) != F.col("last_id"))
     return lost.groupBy(id_col).agg(F.collect_set("at").alias("gone"))
 
 
