@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from . import scratch
+
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: At most this many labelled rows are learned from, the ones whose ids hash lowest.
@@ -73,7 +75,7 @@ class Scorer:
         return float(p.sum()), float(p[0])
 
 
-def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, width: int, ridge: float = 1e-3, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, width: int, ridge: float = 1e-5, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by full-batch Adam on the mean log-likelihood. rows and values are sparse rows."""
     levels = max(2, int(grade.max(initial=1)) + 1)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -104,12 +106,12 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndar
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 4, least_ratio: float = 4.0, least_g: float = 20.0) -> Model:
-    """Learns from at most sample_rows labelled rows. Unlabelled rows, null labels and labels without a document do not
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 4, least_ratio: float = 10.0, least_g: float = 20.0) -> Model:
+    """Learns from at most sample_rows labelled rows, equal texts once. Unlabelled rows, null labels and labels without a document do not
     count; without any toxic row the model finds every text clean."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull())
     chosen = known.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates(["text"])
 
     def counted(batches):
         for batch in batches:
@@ -121,8 +123,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         feats[f] = feats.get(f, 0) + n
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([list(feats)], pa.list_(pa.string())), pa.array([list(feats.values())], pa.list_(pa.int32()))], names=["y", "f", "n"])
 
-    from . import scratch
-
     rows = scratch.cut(sample.select(id_col, F.col("y").cast("int"), "text").mapInArrow(counted, "y int, f array<string>, n array<int>"), "labelled")
     n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
