@@ -193,7 +193,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     known = held.join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
     classes = known.groupBy("host", "pages", "vector", "of").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "most", "chars", "linked", "path")).alias("tokens"))
     valid = classes.where((F.col("size") > 1) | (F.col("pages") == F.col("of"))).select("host", "of", "pages", F.explode("tokens").alias("k")).select("host", "of", "pages", "k.*")
-    element = valid.where("path is not null").withColumn("named", F.split("path", "\n").getItem(F.size(F.split("path", "\n")) - 1)).withColumn("depth", F.size(F.split("path", "\n")))
+    element = valid.where("path is not null").withColumn("named", F.element_at(F.split("path", "\n"), -1)).withColumn("depth", F.size(F.split("path", "\n")))
     whole = element.groupBy("host").agg(F.max("chars").alias("all_chars"), F.max(F.regexp_like("named", F.lit(r"^(article|main)(\.|$)"))).alias("has_main"))
     both = element.join(whole, "host")
     by_name = F.col("has_main") & F.regexp_like("named", F.lit(r"^(article|main)(\.|$)"))
