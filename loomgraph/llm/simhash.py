@@ -14,6 +14,7 @@ each key joins what belongs together. Such a key is shared by 2,081 fingerprints
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import scratch
 from .components import connected_components
@@ -32,32 +34,36 @@ SEED = 42
 _PIECE = 1 << 17
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of one text; zero without words. Works through long texts piecewise, in bounded memory."""
+def fingerprint(text: str | None, words: int = 4, lanes: int = 1) -> list[int]:
+    """The 64-bit SimHashes of one text, one for each lane, whose hashes have seeds of their own; zero without words. Works
+    through long texts piecewise, in bounded memory."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not tokens:
-        return 0
+        return [0] * lanes
     n = max(1, len(tokens) - words + 1)
     line = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[:n].tolist()
     end = (end[words - 1 :] if len(tokens) > words else end[-1:]).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((lanes, 64), dtype=np.int64)
     for i in range(0, n, _PIECE):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(start[i : i + _PIECE], end[i : i + _PIECE])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        shingles = [line[a:b] for a, b in zip(start[i : i + _PIECE], end[i : i + _PIECE])]
+        for k in range(lanes):
+            h = np.array([digest(s, SEED + k) for s in shingles], dtype="<u8")
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id_col, fp): fp is the fingerprint's 64 bits as a signed long. One row per input row."""
-    schema = docs.select(id_col).schema.add("fp", "long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
+    """(id_col, fps): fps holds each lane's 64 bits as a signed long. One row per input row."""
+    schema = StructType([docs.schema[id_col], StructField("fps", ArrayType(LongType(), False))])
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=[id_col, "fp"])
+            flat = np.array([fingerprint(x.as_py(), words, lanes) for x in batch.column(1)], dtype=np.uint64).reshape(-1).view(np.int64)
+            ends = pa.array(np.arange(0, len(flat) + 1, lanes, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -99,17 +105,24 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, full_key: int = FULL_KEY)
     return close.select("a", "b").unionByName(star.select("a", "b")).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS, full_key: int = FULL_KEY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = MAX_BITS, lanes: int = 1, full_key: int = FULL_KEY) -> DataFrame:
     """(id_col, fingerprint, component_id): the group of every row whose id is not null.
 
-    component_id is the smallest id that links reach. Null and wordless texts have fingerprint zero and link like any
-    other. Exact copies share a fingerprint, so groups of any size enter the search as one row. Repeated ids give one
-    row each. Other columns of docs are ignored.
+    Texts link if their fingerprints of any lane differ by max_bits or fewer; more lanes find more of the pairs whose
+    similarity is near the bound. fingerprint is that of the first lane; component_id is the smallest id that links reach.
+    Null and wordless texts have fingerprint zero and link like any other. Exact copies enter the search as one row, so
+    their groups may have any size. Repeated ids give one row each. Other columns of docs are ignored.
     """
-    prints = scratch.cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words), "prints")
-    each = scratch.cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "each")
-    found = connected_components(links(each.select("fp"), max_bits, full_key))
-    joined = each.join(found, each.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first_id")
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    root_of = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(root_of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = scratch.cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, lanes), "prints")
+    nodes = scratch.cut(prints.groupBy("fps").agg(F.min(id_col).alias("node")), "nodes")
+    edges = []
+    for k in range(lanes):
+        lane = scratch.cut(nodes.groupBy(F.col("fps")[k].alias("fp")).agg(F.min("node").alias("low")), "lane")
+        a, b = lane.select(F.col("fp").alias("src"), F.col("low").alias("u")), lane.select(F.col("fp").alias("dst"), F.col("low").alias("v"))
+        edges.append(scratch.cut(links(lane.select("fp"), max_bits, full_key).join(a, "src").join(b, "dst").select("u", "v"), "links"))
+        if lanes > 1:  # texts that differ, but not in this lane
+            same = nodes.join(lane, F.col("fps")[k] == F.col("fp")).where("node <> low")
+            edges.append(same.select(F.col("node").alias("u"), F.col("low").alias("v")))
+    found = connected_components(reduce(DataFrame.unionByName, edges), "u", "v").withColumnRenamed("node", "of")
+    grouped = nodes.join(found, nodes.node == found.of, "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(grouped, "fps").select(id_col, F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ from loomgraph.llm import simhash
 from loomgraph.llm.components import connected_components
 
 
-def slow(text, words=4):
+def slow(text, words=4, seed=42):
     tokens = []
     word = b""
     for byte in (text or "").encode() + b" ":
@@ -17,7 +17,7 @@ def slow(text, words=4):
         else:
             word += c
     shingles = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
-    hs = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    hs = [xxhash.xxh64_intdigest(s, seed=seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
@@ -47,15 +47,15 @@ def corpus(seed=5):
 
 def test_fingerprints():
     for _, t in corpus():
-        assert simhash.fingerprint(t) == slow(t)
-        assert simhash.fingerprint(t, 5) == slow(t, 5)
+        assert simhash.fingerprint(t) == [slow(t)]
+        assert simhash.fingerprint(t, 5, 3) == [slow(t, 5, 42 + k) for k in range(3)]
 
 
 def test_long_text_works_through_pieces(monkeypatch):
     text = " ".join(f"w{i % 977}" for i in range(5000))
     whole = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "_PIECE", 100)
-    assert simhash.fingerprint(text) == whole == slow(text)
+    assert simhash.fingerprint(text) == whole == [slow(text)]
 
 
 def test_groups_equal_all_pairs(spark, wide):
@@ -67,6 +67,20 @@ def test_groups_equal_all_pairs(spark, wide):
         assert {r.doc_id: r.fingerprint for r in got} == {i: f"{slow(t):016x}" for i, t in rows}
 
 
+def test_lanes_link_texts_near_in_any_of_them(spark, wide):
+    rows = [(i, t) for i, t in corpus(8)]
+    prints = {i: [slow(t, 5, 42 + k) for k in range(3)] for i, t in rows}
+    low = {i: i for i, _ in rows}
+    while True:
+        new = {i: min(low[j] for j in low if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j]))) for i in low}
+        if new == low:
+            break
+        low = new
+    got = simhash.near_duplicates(wide(*rows), words=5, lanes=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == low
+    assert len(set(low.values())) < len(set(groups({i: p[0] for i, p in prints.items()}).values()))
+
+
 def test_dense_group_takes_the_way_by_balls(spark, frame):
     rng = random.Random(1)
     base, fps = rng.getrandbits(64), set()
