@@ -95,7 +95,7 @@ def _note(dropped: Column) -> Column:
     return F.when(dropped > 0, F.concat(F.lit("[... "), dropped.cast("string"), F.lit(" tool/MCP calls omitted ...]"))).otherwise(F.lit(""))
 
 
-def truncate_chunk(user: str, assistant: str, tools: str, mcps: str, max_tokens: int) -> Column:
+def truncate_chunk(user: str, assistant: str, tools: str, mcps: str, max_tokens: Column | int) -> Column:
     """struct(stage, text): the first stage that fits. 0 whole; 1 without bash calls; 2 without tool calls either; 3 without
     any call; 4 the user message whole and the assistant's head and tail, or the user message alone, cut if need be."""
     message, calls = collapse_command(user), F.size(tools) + F.size(mcps)
@@ -108,7 +108,7 @@ def truncate_chunk(user: str, assistant: str, tools: str, mcps: str, max_tokens:
     closing = F.when(note == "", F.lit("")).otherwise(F.concat(F.lit("\n"), note, F.lit("\n")))
     note_tokens = count_tokens(note) + F.when(note == "", 0).otherwise(2)
     block = F.concat(F.lit("[User]\n"), message, F.lit("\n"))
-    left = F.lit(max_tokens) - count_tokens(block) - note_tokens - SLACK
+    left = (max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)) - count_tokens(block) - note_tokens - SLACK
     joined = F.array_join(F.transform(assistant, lambda m: F.concat(F.lit("\n[Assistant]\n"), m, F.lit("\n"))), "")
     last = (
         F.when(left <= 0, safe_truncate(block, max_tokens))

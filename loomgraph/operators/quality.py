@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
@@ -78,3 +80,35 @@ def every_nth(keys: DataFrame, key: str, size: str, take: int) -> DataFrame:
     order = Window.orderBy(size, key)
     total = keys.agg(F.greatest(F.floor(F.count("*") / take), F.lit(1)).alias("step"))
     return keys.withColumn("n", F.row_number().over(order) - 1).crossJoin(F.broadcast(total)).where((F.col("n") % F.col("step") == 0) & (F.col("n") / F.col("step") < take)).drop("n", "step")
+
+
+def verify_rerun(old: DataFrame, new: DataFrame, key: str, chunk: str, bad: Column) -> DataFrame:
+    """One row: keys that repeat in new, chunks that only one side has, rows of new that are still bad."""
+    lost = old.select(chunk).distinct().exceptAll(new.select(chunk).distinct()).agg(F.count("*").alias("n_lost"))
+    added = new.select(chunk).distinct().exceptAll(old.select(chunk).distinct()).agg(F.count("*").alias("n_added"))
+    repeated = duplicate_keys(new, key).agg(F.count("*").alias("n_repeated"))
+    return repeated.crossJoin(lost).crossJoin(added).crossJoin(new.agg(F.count_if(bad).alias("n_bad")))
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows drawn evenly."""
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def collection_stats(**collections: DataFrame) -> DataFrame:
+    """(name, n_rows, dim): dim is the length of the embeddings, null without any."""
+    one = lambda name, df: df.agg(F.count("*").alias("n_rows"), (F.max(F.size("embedding")) if "embedding" in df.columns else F.lit(None)).cast("int").alias("dim")).select(F.lit(name).alias("name"), "n_rows", "dim")
+    return reduce(DataFrame.unionByName, [one(k, v) for k, v in sorted(collections.items())])
+
+
+def conclusions(hits: DataFrame, pairs: DataFrame, summaries: DataFrame, chunks: DataFrame, short: int = 50) -> DataFrame:
+    """(fact, n) of the facts that hold: drift, queries without a hit, near pairs, short summaries, chunks without a task."""
+    facts = {
+        "drift": hits.where("drift"),
+        "no hit": hits.where("not nominal"),
+        "near pairs": pairs.where("is_near"),
+        "short summaries": summaries.where(F.length("summary") < short),
+        "chunks without a task": chunks.where("task is null"),
+    }
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fact"), "n") for name, df in facts.items()]
+    return reduce(DataFrame.unionByName, counted).where("n > 0")

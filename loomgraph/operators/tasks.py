@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import time
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 OUTPUT_TOKENS, PROMPT_TOKENS, BATCH = 250, 30_000, 16
 
@@ -35,6 +38,51 @@ def plan_batches(chunks: DataFrame, session: str = "session_id", pos: str = "tur
     return folded.select(session, F.explode(F.arrays_zip(F.col("xs")["p"].alias("p"), F.col("b").alias("b"))).alias("z")).select(session, F.col("z.p").alias(pos), F.col("z.b").alias("batch_id"))
 
 
+def format_prompts(chunks: DataFrame, chunk_tokens: int = 3000, budget: int = PROMPT_TOKENS) -> DataFrame:
+    """(session_id, batch_id, prompt, tokens): the chunks of a batch in order, each under a line with its number. A prompt over the
+    budget is put together again from chunks cut to max(200, budget / number of chunks - 100) tokens.
+
+    chunks(session_id, batch_id, turn_index, user_message, assistant_messages, tool_calls, mcp_calls).
+    """
+    from loomgraph.functions import text
+
+    block = lambda most: F.concat(F.lit("--- c"), F.col("turn_index").cast("string"), F.lit(" ---\n"), text.truncate_chunk("user_message", "assistant_messages", "tool_calls", "mcp_calls", most)["text"])
+    key = ["session_id", "batch_id"]
+    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "block"))), lambda x: x["block"]), "\n\n")
+    size = chunks.withColumn("block", block(chunk_tokens)).groupBy(*key).agg(put.alias("prompt"), F.count("*").alias("n")).withColumn("tokens", text.count_tokens("prompt"))
+    over = size.where(F.col("tokens") > budget).select(*key, F.greatest(F.lit(200), F.floor(F.lit(budget) / F.col("n")) - 100).cast("int").alias("most"))
+    again = chunks.join(over, key).withColumn("block", block(F.col("most"))).groupBy(*key).agg(put.alias("prompt")).withColumn("tokens", text.count_tokens("prompt"))
+    return size.where(F.col("tokens") <= budget).select(*key, "prompt", "tokens").unionByName(again)
+
+
+def call_model(prompts: DataFrame, model: Callable[[str], str], column: str = "prompt", attempts: int = 3, wait: float = 2.0, valid: Callable[[str], bool] = lambda reply: extract_json(reply) is not None) -> DataFrame:
+    """prompts with reply, attempts and error. The model is any function of the prompt; it is called again, after waits that
+    double, when it raises or its reply is not valid. What still fails gives a null reply and the error."""
+    schema = StructType([*prompts.schema.fields, StructField("reply", StringType()), StructField("attempts", IntegerType()), StructField("error", StringType())])
+    kept = prompts.columns
+
+    def one(prompt: str) -> tuple[str | None, int, str | None]:
+        error = None
+        for n in range(1, attempts + 1):
+            try:
+                reply = model(prompt)
+                if valid(reply):
+                    return reply, n, None
+                error = "the reply is not valid"
+            except Exception as e:  # noqa: BLE001  whatever a model raises is a failed attempt
+                error = str(e) or type(e).__name__
+            if n < attempts:
+                time.sleep(wait * 2 ** (n - 1))
+        return None, attempts, error
+
+    def run(batches):
+        for df in batches:
+            got = [one(p) for p in df[column]]
+            yield df.assign(reply=[g[0] for g in got], attempts=[g[1] for g in got], error=[g[2] for g in got])[[*kept, "reply", "attempts", "error"]]
+
+    return prompts.mapInPandas(run, schema)
+
+
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 

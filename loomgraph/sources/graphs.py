@@ -25,3 +25,13 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str) -> Non
 def write_rows(rows: DataFrame, path: str, order: str | None = None) -> None:
     """JSON lines; the committer makes the job's output appear at once. A given order is a range partitioning, not one task."""
     (rows.orderBy(order) if order else rows).write.mode("overwrite").json(path)
+
+
+def write_entities(entities: DataFrame, canonical: DataFrame, path: str) -> None:
+    """entities.json: every name with its canonical name, by name. inverted_index.json: canonical names with their aliases and
+    tasks, the most tasks first."""
+    named = entities.join(canonical, "name", "left").withColumn("canonical_name", F.coalesce("canonical", "name")).drop("canonical")
+    write_rows(named.withColumnRenamed("tasks", "source_tasks"), f"{path}/entities.json", "name")
+    grouped = named.groupBy(F.col("canonical_name").alias("canonical")).agg(F.array_sort(F.collect_set("name")).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tasks")))).alias("task_ids"))
+    ordered = grouped.withColumn("task_count", F.size("task_ids")).orderBy(F.desc("task_count"), "canonical")
+    ordered.write.mode("overwrite").json(f"{path}/inverted_index.json")
