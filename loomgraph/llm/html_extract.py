@@ -187,7 +187,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     tokens = pages.select(id_col, url_col, html_col).mapInArrow(run, schema)
-    held = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("id", "n").cast("decimal(38,0)")).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("path").alias("path"))
+    # The path goes with the token; as a key it leaves numbers only to aggregate, which needs no sorting.
+    held = tokens.groupBy("host", "token", "path").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("id", "n").cast("decimal(38,0)")).alias("vector"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     held = scratch.cut(held.where(F.col("pages") >= LEAST_PAGES), "tokens")
     hosts = pages.select(_host(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("of"))
     known = held.join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
@@ -234,7 +235,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = StructType([pages.schema[id_col], pages.schema[url_col], StructField("text", StringType())])
     rows = pages.select(id_col, url_col, html_col)
     if size <= BROADCAST_BYTES:
-        known = rows.sparkSession.sparkContext.broadcast({r["host"]: (r["main"], frozenset(r["fixed"] or ())) for r in found.toLocalIterator()})
+        known = rows.sparkSession.sparkContext.broadcast({r["host"]: (r["main"], frozenset(r["fixed"] or ())) for r in found.collect()})
 
         def look(batch):
             return [known.value.get(split_url(u)[0], (None, frozenset())) for u in batch.column(1).to_pylist()]
