@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.sources import tables
 
 K1, B = 1.5, 0.75
 
@@ -43,8 +44,11 @@ def query_terms(queries: DataFrame, query: str = "query_id", body: str = "text")
 
 
 def scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query, doc, score) of every document with a positive score. Queries' terms are few: they drive the join."""
-    hit = index.postings.join(F.broadcast(terms), "term").join(F.broadcast(term_idf(index).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")), "term").crossJoin(F.broadcast(index.corpus))
+    """(query, doc, score) of every document with a positive score. The queries' terms, if they are few, go to the postings;
+    else both sides are dealt out by term."""
+    asked = tables.small(terms)
+    idf = term_idf(index).join(tables.small(terms.select("term").distinct()), "term", "left_semi")
+    hit = index.postings.join(asked, "term").join(idf, "term").crossJoin(F.broadcast(index.corpus))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query", "doc").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
@@ -64,4 +68,4 @@ def token_idf(index: Index, terms: DataFrame) -> DataFrame:
     """(term, idf_proxy): the largest score that the term alone gives any document; 0 where it gives none."""
     alone = terms.select(F.col("term").alias("query"), "term", F.lit(1).alias("times"))
     best = scores(index, alone).groupBy("query").agg(F.max("score").alias("best"))
-    return terms.select("term").join(F.broadcast(best), F.col("term") == F.col("query"), "left").select("term", F.coalesce("best", F.lit(0.0)).alias("idf_proxy"))
+    return terms.select("term").join(best, F.col("term") == F.col("query"), "left").select("term", F.coalesce("best", F.lit(0.0)).alias("idf_proxy"))

@@ -7,14 +7,28 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
 from loomgraph.operators import bm25
+from loomgraph.sources import tables
+
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 20_000
 
 
 def scores(points: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query, doc, score): cosine of every stated query vector with every point. Points stay where they are; the few
-    queries are sent to them."""
+    """(query, doc, score): cosine of every stated query vector with every point.
+
+    A set of queries that fits a broadcast is sent to the points, which stay where they are. A larger one is cut into blocks
+    of that size by hash, and every point meets each block once.
+    """
     q = queries.select(F.col(query).alias("query"), vectors.normalize(F.col(vector)).alias("qv"))
     p = points.select(F.col(doc).alias("doc"), vectors.normalize(F.col(vector)).alias("pv"))
-    return p.crossJoin(F.broadcast(q)).select("query", "doc", vectors.dot(F.col("qv"), F.col("pv")).alias("score"))
+    score = vectors.dot(F.col("qv"), F.col("pv")).alias("score")
+    n = q.count()
+    if n <= QUERY_BLOCK:
+        return p.crossJoin(F.broadcast(q)).select("query", "doc", score)
+    blocks = -(-n // QUERY_BLOCK)
+    dealt = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    met = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    return met.join(dealt, "block").select("query", "doc", score)
 
 
 def search(points: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -29,5 +43,5 @@ def max_pool(weights: DataFrame, special: int = 3) -> DataFrame:
 def sparse_search(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Dot products of sparse vectors, both as rows (doc or query, token, weight)."""
     q = queries.select("query", "token", F.col("weight").alias("qw"))
-    scored = points.join(F.broadcast(q), "token").groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    scored = points.join(tables.small(q), "token").groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
     return bm25.top(scored.where(F.col("score") > 0), k)

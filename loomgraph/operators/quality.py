@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
+from loomgraph.sources import tables
 
 
 def count_of_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -52,7 +53,7 @@ def retrieval_hits(ranked: DataFrame, tasks: DataFrame, keywords: DataFrame, k:
     nominal: a word is in the label or summary of a task among the first k; effective: the first task with a word in its
     label is among them; drift: nominal and not effective.
     """
-    rows = ranked.join(tasks, "doc").join(F.broadcast(keywords), "query")
+    rows = ranked.join(tasks, "doc").join(tables.small(keywords), "query")
     label = F.contains(F.lower("label"), F.lower("word"))
     either = label | F.contains(F.lower("summary"), F.lower("word"))
     out = rows.groupBy("query").agg(F.coalesce(F.bool_or(either & (F.col("rank") <= k)), F.lit(False)).alias("nominal"), F.coalesce(F.min(F.when(label, F.col("rank"))) <= k, F.lit(False)).alias("effective"))
@@ -77,9 +78,8 @@ def model_rollup(runs: DataFrame) -> DataFrame:
 
 def every_nth(keys: DataFrame, key: str, size: str, take: int) -> DataFrame:
     """`take` keys spread evenly over the order by size: every n/take-th."""
-    order = Window.orderBy(size, key)
     total = keys.agg(F.greatest(F.floor(F.count("*") / take), F.lit(1)).alias("step"))
-    return keys.withColumn("n", F.row_number().over(order) - 1).crossJoin(F.broadcast(total)).where((F.col("n") % F.col("step") == 0) & (F.col("n") / F.col("step") < take)).drop("n", "step")
+    return tables.numbered(keys, size, key).crossJoin(F.broadcast(total)).where((F.col("n") % F.col("step") == 0) & (F.col("n") / F.col("step") < take)).drop("n", "step")
 
 
 def verify_rerun(old: DataFrame, new: DataFrame, key: str, chunk: str, bad: Column) -> DataFrame:

@@ -81,12 +81,10 @@ def align_pairs(spark, place):
 
 @query("""SELECT 'doc' || doc_id AS name, first_value('doc' || doc_id) OVER (PARTITION BY text ORDER BY length('doc' || doc_id), 'doc' || doc_id) AS canonical FROM documents""")
 def connected_components(spark, place):
-    """Equal texts, linked each to its next by number: chains as long as a group of copies."""
-    from pyspark.sql import Window
-
+    """Equal texts, linked each to the first of its group by name."""
     docs = tables.read(spark, place, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("name"), "doc_id", F.sha2("text", 256).alias("h"))
-    chain = docs.withColumn("b", F.lead("name").over(Window.partitionBy("h").orderBy("doc_id"))).where("b is not null").select(F.col("name").alias("a"), "b")
-    return graph_build.components(chain, docs)
+    first = docs.groupBy("h").agg(F.min("name").alias("b"))
+    return graph_build.components(docs.join(first, "h").where("name <> b").select(F.col("name").alias("a"), "b"), docs)
 
 
 @query(f"""WITH {NODES} SELECT name, CAST(task_count AS INTEGER) AS task_count, 'concept' AS entity_type FROM nodes""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text
 from loomgraph.hooks import Hooks
 from loomgraph.operators import bm25, dense, fusion, graph_query, summary
+from loomgraph.sources import tables
 
 
 @dataclass
@@ -42,7 +43,7 @@ def candidates(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: i
 
 def rerank(found: DataFrame, queries: DataFrame, tasks: DataFrame, hooks: Hooks, top_k: int) -> DataFrame:
     """The top_k by the reranker's score on the task summary; the fused score stays as hybrid_score."""
-    pairs = found.join(F.broadcast(queries.select("query", F.col("text").alias("_q"))), "query").join(tasks.select(F.col("task").alias("doc"), F.col("summary").alias("_s")), "doc")
+    pairs = found.join(tables.small(queries.select("query", F.col("text").alias("_q"))), "query").join(tasks.select(F.col("task").alias("doc"), F.col("summary").alias("_s")), "doc")
     scored = pairs.withColumnRenamed("score", "hybrid_score").withColumn("score", hooks.rerank(F.col("_q"), F.col("_s")))
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), F.round("hybrid_score", 12).desc(), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query", "doc", "score", "hybrid_score", "rank")
@@ -111,9 +112,9 @@ def expand_query(index: bm25.Index, nodes: DataFrame, queries: DataFrame, max_to
     fit = own.where(F.length("term") >= min_chars).groupBy("query", "term").agg(F.min("pos").alias("pos"))
     proxy = bm25.token_idf(index, fit.select("term").distinct()).where(F.col("idf_proxy") >= floor)
     order = Window.partitionBy("query").orderBy(F.round("idf_proxy", 9).desc(), "pos")
-    best = fit.join(F.broadcast(proxy), "term").withColumn("t", F.row_number().over(order)).where(F.col("t") <= max_tokens)
+    best = fit.join(tables.small(proxy), "term").withColumn("t", F.row_number().over(order)).where(F.col("t") <= max_tokens)
     names = nodes.select("name", "task_count", F.concat(F.array("name"), "aliases").alias("all")).withColumn("surface", F.explode("all"))
-    hit = names.join(F.broadcast(best.select("query", "term", "t")), F.lower("surface") == F.col("term")).groupBy("query", "t", "term", "name", "task_count", "all").agg(F.lit(1))
+    hit = names.join(tables.small(best.select("query", "term", "t")), F.lower("surface") == F.col("term")).groupBy("query", "t", "term", "name", "task_count", "all").agg(F.lit(1))
     rank = Window.partitionBy("query", "t").orderBy(F.desc("task_count"), "name")
     hit = hit.withColumn("h", F.row_number().over(rank)).where(F.col("h") <= hits_each)
     offered = hit.select("query", "t", "h", "term", F.posexplode("all").alias("i", "surface")).where(F.lower("surface") != F.col("term")).join(own.select("query", F.col("term").alias("surface")).distinct(), ["query", "surface"], "left_anti")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Rows of ordinary width that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, place: str, name: str) -> DataFrame:
@@ -24,3 +28,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{place.rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if its counted rows are few enough; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """df with its place in a total order, from 0. The rows are sorted by ranges over all tasks; only the counts of the ranges,
+    one row for each, are added up in one place."""
+    sorted_ = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    placed = cut(sorted_, "numbered")
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_of"))
+    begin = counts.withColumn("_begin", F.coalesce(F.sum("_of").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_begin")
+    return placed.join(F.broadcast(begin), "_range").withColumn(name, F.col("_begin") + F.col("_in")).drop("_range", "_in", "_begin")

@@ -150,3 +150,19 @@ def test_retrieval_hits(spark):
     k = spark.createDataFrame([("q", "key")], "query string, word string")
     got = quality.retrieval_hits(r, t, k).first()
     assert (got.nominal, got.effective, got.drift) == (True, False, True)
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)]
+    p = spark.createDataFrame(rows, "doc_id int, embedding array<double>")
+    q = p.withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, dense.search(p, q, 3).collect()))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, dense.search(p, q, 3).collect())) == whole
+
+
+def test_numbered_counts_over_all_ranges(spark):
+    from loomgraph.sources import tables
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    assert sorted((r.v, r.n) for r in tables.numbered(df, "v").collect()) == [(i, i) for i in range(1000)]
