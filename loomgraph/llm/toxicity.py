@@ -106,7 +106,7 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndar
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 4, least_ratio: float = 10.0, least_g: float = 20.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 3, least_ratio: float = 10.0, least_g: float = 12.0) -> Model:
     """Learns from at most sample_rows labelled rows, equal texts once. Unlabelled rows, null labels and labels without a document do not
     count; without any toxic row the model finds every text clean."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull())
