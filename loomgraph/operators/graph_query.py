@@ -1,11 +1,11 @@
-"""Queries over nodes(name, entity_type, aliases, source_tasks, task_count) and edges(head, relation, tail, weight, source_task)."""
+"""Queries over the nodes, tasks and edges of a Graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph_build import degrees
+from loomgraph.operators.graph_build import Graph, degrees
 from loomgraph.sources import tables
 
 
@@ -20,8 +20,8 @@ def get_edges(edges: DataFrame, name: str, direction: str = "both") -> DataFrame
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
-def tasks_of(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.where(F.col("name") == name).select(F.explode("source_tasks").alias("task"))
+def tasks_of(graph: Graph, name: str) -> DataFrame:
+    return graph.tasks.where(F.col("name") == name).select("task")
 
 
 def _like(query: str) -> str:
@@ -83,12 +83,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int | Non
     return reached
 
 
-def query_kg(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, entity: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
+def query_kg(graph: Graph, tasks: DataFrame, entity: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
     """Tasks of all entities around the best match for a name: exact first, else the first fuzzy hit."""
-    exact = nodes.where(F.col("name") == entity).select("name", F.lit(-1).alias("rank"))
-    seed = exact.unionByName(search_ranked(nodes, entity, 1).select("name", "rank")).orderBy("rank").limit(1).select("name")
-    around = bfs(edges, seed, depth, max_nodes)
-    found = nodes.join(F.broadcast(around), "name").select(F.explode("source_tasks").alias("task")).distinct()
+    exact = graph.nodes.where(F.col("name") == entity).select("name", F.lit(-1).alias("rank"))
+    seed = exact.unionByName(search_ranked(graph.nodes, entity, 1).select("name", "rank")).orderBy("rank").limit(1).select("name")
+    around = bfs(graph.edges, seed, depth, max_nodes)
+    found = graph.tasks.join(F.broadcast(around), "name", "left_semi").select("task").distinct()
     return tasks.join(found, "task", "left_semi")
 
 
@@ -151,18 +151,18 @@ DECISIONS = {
 }
 
 
-def related_tasks(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+def related_tasks(steps: DataFrame, graph: Graph) -> DataFrame:
     """(task): tasks of the steps and of the nodes they name, once each."""
     named = steps.select(F.explode(F.array("entity", "related")).alias("name")).distinct()
-    of_nodes = nodes.join(named, "name", "left_semi").select(F.explode("source_tasks").alias("task"))
+    of_nodes = graph.tasks.join(named, "name", "left_semi").select("task")
     return steps.select(F.col("source_task").alias("task")).unionByName(of_nodes).where("task is not null").distinct()
 
 
-def anti_idf(nodes: DataFrame, names: DataFrame, tasks: DataFrame, limit: int = 50) -> DataFrame:
+def anti_idf(graph: Graph, names: DataFrame, tasks: DataFrame, limit: int = 50) -> DataFrame:
     """(task, score): the sum over reached entities of ln(1 + N / their number of tasks), rare entities weighing more; N is the
     number of tasks. Tasks that the catalogue lacks do not count."""
     n = tasks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    hit = nodes.join(names.select("name"), "name", "left_semi").crossJoin(F.broadcast(n))
+    hit = graph.nodes.join(names.select("name"), "name", "left_semi").crossJoin(F.broadcast(n))
     part = F.log1p(F.col("n") / F.greatest(F.col("task_count"), F.lit(1)))
-    scored = hit.select(F.explode("source_tasks").alias("task"), part.alias("part")).groupBy("task").agg(F.sum("part").alias("score"))
+    scored = graph.tasks.join(tables.small(hit.select("name", part.alias("part"))), "name").groupBy("task").agg(F.sum("part").alias("score"))
     return scored.join(tasks.select("task"), "task", "left_semi").orderBy(F.round("score", 9).desc(), "task").limit(limit)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions import text
 from loomgraph.operators import graph_build, graph_query, incremental, quality, summary
 from loomgraph.plans import search as plans
 from loomgraph.plans.registry import query, rounded
@@ -25,13 +24,13 @@ def triples(spark, place):
     )
 
 
-def identity(spark, ents):
-    return ents.select("name", F.col("name").alias("canonical"))
+def identity(names):
+    return names.select("name", F.col("name").alias("canonical"))
 
 
 def graph(spark, place):
     t = triples(spark, place)
-    return graph_build.triple_graph(t, identity(spark, graph_build.entities(t)))
+    return graph_build.triple_graph(t, identity(graph_build.entities(graph_build.mentions(t))))
 
 
 def hierarchy(spark, place):
@@ -67,10 +66,10 @@ def triple_validity(spark, place):
     return graph_build.clean_triples(padded.unionByName(bad)).select("head", "relation", "tail", "source_task", rounded("confidence").alias("confidence"))
 
 
-@query("""SELECT l_partkey AS entity, CAST(count(*) AS INTEGER) AS task_count, list(l_orderkey ORDER BY pos, l_orderkey) AS tasks FROM (SELECT l_partkey, l_orderkey, min(l_linenumber) AS pos FROM lineitem GROUP BY l_partkey, l_orderkey) GROUP BY l_partkey""")
+@query("""SELECT l_partkey AS entity, l_orderkey AS task, min(l_linenumber) AS first_pos FROM lineitem GROUP BY l_partkey, l_orderkey""")
 def inverted_index(spark, place):
     mentions = tables.read(spark, place, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("pos"))
-    return graph_build.inverted_index(mentions).select("entity", "task_count", "tasks")
+    return graph_build.inverted_index(mentions)
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.92""")
@@ -89,12 +88,12 @@ def connected_components(spark, place):
 
 @query(f"""WITH {NODES} SELECT name, CAST(task_count AS INTEGER) AS task_count, 'concept' AS entity_type FROM nodes""")
 def triple_nodes(spark, place):
-    return graph(spark, place)[0].select("name", "task_count", "entity_type")
+    return graph(spark, place).nodes.select("name", "task_count", "entity_type")
 
 
 @query(f"""WITH {TRI} SELECT head, relation, tail, count(*) AS n, round(sum(confidence), 6) AS weight FROM tri GROUP BY head, relation, tail""")
 def triple_edges(spark, place):
-    return graph(spark, place)[1].groupBy("head", "relation", "tail").agg(F.count("*").alias("n"), rounded(F.sum("weight")).alias("weight"))
+    return graph(spark, place).edges.groupBy("head", "relation", "tail").agg(F.count("*").alias("n"), rounded(F.sum("weight")).alias("weight"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS task, l_partkey AS entity, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS n FROM lineitem GROUP BY l_orderkey, l_partkey)
@@ -106,18 +105,18 @@ def cooccurrence_edges(spark, place):
 
 @query(f"WITH {DEG} SELECT name, degree FROM deg ORDER BY degree DESC, name LIMIT 10")
 def degree_topk(spark, place):
-    return graph_build.degrees(graph(spark, place)[1]).orderBy(F.desc("degree"), "name").limit(10)
+    return graph_build.degrees(graph(spark, place).edges).orderBy(F.desc("degree"), "name").limit(10)
 
 
 @query(f"WITH {DEG} SELECT degree, count(*) AS n_nodes FROM deg GROUP BY degree")
 def degree_histogram(spark, place):
-    return graph_build.degree_histogram(graph(spark, place)[1])
+    return graph_build.degree_histogram(graph(spark, place).edges)
 
 
 @query(f"WITH {NODES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM tri) AS n_edges, (SELECT count(*) FROM nodes) AS n_names, CAST(0 AS BIGINT) AS n_merged")
 def kg_stats(spark, place):
-    n, e = graph(spark, place)
-    return graph_build.stats(n, e, identity(spark, n))
+    g = graph(spark, place)
+    return graph_build.stats(g.nodes, g.edges, identity(g.nodes))
 
 
 @query(f"""WITH {PARTS} SELECT name, CAST(rank AS INTEGER) AS rank, CAST(task_count AS INTEGER) AS task_count FROM (SELECT name, task_count, CASE WHEN name = 'widget' THEN 0 WHEN name ILIKE 'widget%' THEN 1 WHEN p_brand = 'widget' OR p_type = 'widget' THEN 2 WHEN p_brand ILIKE 'widget%' OR p_type ILIKE 'widget%' THEN 3 WHEN name ILIKE '%widget%' THEN 4 ELSE 5 END AS rank FROM pn WHERE name ILIKE '%widget%' OR p_brand ILIKE '%widget%' OR p_type ILIKE '%widget%') ORDER BY rank, length(name), task_count DESC, name LIMIT 20""")
@@ -133,7 +132,7 @@ def entity_search_exact(spark, place):
 
 @query(f"""WITH {TRI} SELECT head, relation, tail, source_task, 'out' AS direction FROM tri WHERE head = 'c1' UNION ALL SELECT head, relation, tail, source_task, 'in' FROM tri WHERE tail = 'c1'""")
 def edges_both(spark, place):
-    return graph_query.get_edges(graph(spark, place)[1], "c1").select("head", "relation", "tail", "source_task", "direction")
+    return graph_query.get_edges(graph(spark, place).edges, "c1").select("head", "relation", "tail", "source_task", "direction")
 
 
 @query(f"""WITH RECURSIVE {HIER}, r(name, hop) AS (SELECT 'r2', 0 UNION SELECT b, hop + 1 FROM r JOIN near ON a = name WHERE hop < 3) SELECT name, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY name""")
@@ -145,24 +144,25 @@ def bfs_expand(spark, place):
  r2 AS (SELECT DISTINCT b AS name FROM near JOIN r1 ON a = r1.name WHERE b NOT IN (SELECT name FROM all1)), seen AS (SELECT name FROM all1 UNION (SELECT name FROM r2 ORDER BY name LIMIT (SELECT 30 - count(*) FROM all1)))
 SELECT DISTINCT task FROM ends JOIN seen USING (name)""")
 def query_kg(spark, place):
-    n, e = graph(spark, place)
     orders = tables.read(spark, place, "orders").select(F.col("o_orderkey").alias("task"))
-    return graph_query.query_kg(n, e, orders, "c1")
+    return graph_query.query_kg(graph(spark, place), orders, "c1")
 
 
 @query(f"WITH {NODES} SELECT name, CAST(task_count AS INTEGER) AS task_count FROM nodes ORDER BY task_count DESC, name LIMIT 10")
 def top_entities(spark, place):
-    return graph_query.top_entities(graph(spark, place)[0]).select("name", "task_count")
+    return graph_query.top_entities(graph(spark, place).nodes).select("name", "task_count")
 
 
 @query(f"WITH {NODES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, round((SELECT avg(task_count) FROM nodes), 2) AS avg_task_count, (SELECT count(*) FROM tri) AS n_edges, CAST(1 AS BIGINT) AS n_modes")
 def graph_stats(spark, place):
-    return graph_query.stats(*graph(spark, place))
+    g = graph(spark, place)
+    return graph_query.stats(g.nodes, g.edges)
 
 
 @query(f"WITH {DEG}, k AS (SELECT name FROM deg ORDER BY degree DESC, name LIMIT 500) SELECT head, relation, tail, source_task FROM tri WHERE head IN (SELECT name FROM k) AND tail IN (SELECT name FROM k)")
 def prune_topn(spark, place):
-    return graph_query.prune(*graph(spark, place))[1].select("head", "relation", "tail", "source_task")
+    g = graph(spark, place)
+    return graph_query.prune(g.nodes, g.edges)[1].select("head", "relation", "tail", "source_task")
 
 
 @query("""SELECT p_name || ' ' || p_partkey AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")
@@ -175,21 +175,22 @@ def drop_isolates(spark, place):
 
 @query(f"WITH {DEG} SELECT name, round(10 + 40 * degree / (SELECT max(degree) FROM deg), 6) AS size, CASE WHEN length(name) > 20 THEN substr(name, 1, 18) || '...' ELSE name END AS label FROM deg")
 def visual_scale(spark, place):
-    return graph_query.visual_scale(*graph(spark, place))[0].select("name", rounded("size").alias("size"), "label")
+    g = graph(spark, place)
+    return graph_query.visual_scale(g.nodes, g.edges)[0].select("name", rounded("size").alias("size"), "label")
 
 
 @query("SELECT 'concept' AS entity_type, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def type_histogram(spark, place):
-    return graph_query.type_histogram(graph(spark, place)[0])
+    return graph_query.type_histogram(graph(spark, place).nodes)
 
 
 @query(f"""WITH {NODES}, near AS (SELECT head AS a, tail AS b FROM tri UNION SELECT tail, head FROM tri), seen AS (SELECT 'c1' AS name UNION SELECT b FROM near WHERE a = 'c1'), n AS (SELECT greatest(count(*), 1) AS n FROM orders)
 SELECT task, round(sum(ln(1 + n / greatest(task_count, 1))), 6) AS score FROM ends JOIN seen USING (name) JOIN nodes USING (name), n WHERE task IN (SELECT o_orderkey FROM orders) GROUP BY task ORDER BY round(sum(ln(1 + n / greatest(task_count, 1))), 9) DESC, task LIMIT 50""")
 def anti_idf_scores(spark, place):
-    n, e = graph(spark, place)
-    around = graph_query.bfs(e, spark.createDataFrame([("c1",)], "name string"), 1)
+    g = graph(spark, place)
+    around = graph_query.bfs(g.edges, spark.createDataFrame([("c1",)], "name string"), 1)
     orders = tables.read(spark, place, "orders").select(F.col("o_orderkey").alias("task"))
-    return graph_query.anti_idf(n, around, orders).select("task", rounded("score").alias("score"))
+    return graph_query.anti_idf(g, around, orders).select("task", rounded("score").alias("score"))
 
 
 CATS = "cats(relation, category) AS (VALUES ('R', 'excluded'), ('A', 'chosen'))"
@@ -204,7 +205,7 @@ def categories(spark):
 
 
 def steps(spark, place):
-    return graph_query.trace(graph(spark, place)[1], categories(spark), "c1", 2)
+    return graph_query.trace(graph(spark, place).edges, categories(spark), "c1", 2)
 
 
 @query(f"WITH {STEPS} SELECT entity, related, relation, category, CAST(hop AS INTEGER) AS hop, direction, source_task, round(weight, 6) AS weight FROM steps")
@@ -214,7 +215,7 @@ def trace_decision(spark, place):
 
 @query(f"WITH {STEPS}, ends AS (SELECT head AS name, source_task AS task FROM tri UNION SELECT tail, source_task FROM tri) SELECT source_task AS task FROM steps UNION SELECT task FROM ends WHERE name IN (SELECT entity FROM steps UNION SELECT related FROM steps)")
 def related_tasks(spark, place):
-    return graph_query.related_tasks(steps(spark, place), graph(spark, place)[0])
+    return graph_query.related_tasks(steps(spark, place), graph(spark, place))
 
 
 @query(f"""WITH {STEPS}, f AS (SELECT *, row_number() OVER (ORDER BY hop, category, entity, related, relation, direction) AS k FROM steps QUALIFY k <= 20)
@@ -226,16 +227,15 @@ def trace_context(spark, place):
 @query(f"""WITH {NODES}, near AS (SELECT head AS a, tail AS b FROM tri UNION SELECT tail, head FROM tri), seen AS (SELECT 'c1' AS name UNION SELECT b FROM near WHERE a = 'c1'), claims AS (SELECT DISTINCT name AS entity, task FROM ends JOIN seen USING (name))
 SELECT entity, task FROM claims QUALIFY row_number() OVER (PARTITION BY task ORDER BY CASE WHEN entity = 'c1' THEN 0 ELSE 1 END, entity) = 1""")
 def skeleton_sections(spark, place):
-    n, e = graph(spark, place)
-    around = graph_query.bfs(e, spark.createDataFrame([("c1",)], "name string"), 1)
-    claims = n.join(F.broadcast(around), "name").select(F.col("name").alias("entity"), F.explode("source_tasks").alias("task"))
+    g = graph(spark, place)
+    around = graph_query.bfs(g.edges, spark.createDataFrame([("c1",)], "name string"), 1)
+    claims = g.tasks.join(tables.small(around), "name").select(F.col("name").alias("entity"), "task")
     return summary.sections(claims, "c1")
 
 
 @query()
 def skeleton_summary(spark, place):
-    n, e = graph(spark, place)
-    return plans.skeleton(n, e, categories(spark), "c1")
+    return plans.skeleton(graph(spark, place), categories(spark), "c1")
 
 
 @query("""SELECT o_orderkey AS task FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -249,9 +249,9 @@ def pending_tasks(spark, place):
 SELECT DISTINCT task FROM ends JOIN seen USING (name) ORDER BY task LIMIT 10""")
 def context_tasks(spark, place):
     """Tasks around three entities, the first ten by name."""
-    n, e = graph(spark, place)
-    around = graph_query.bfs(e, spark.createDataFrame([("c1",), ("c2",), ("c4",)], "name string"), 1)
-    return n.join(around, "name", "left_semi").select(F.explode("source_tasks").alias("task")).distinct().orderBy("task").limit(10)
+    g = graph(spark, place)
+    around = graph_query.bfs(g.edges, spark.createDataFrame([("c1",), ("c2",), ("c4",)], "name string"), 1)
+    return g.tasks.join(around, "name", "left_semi").select("task").distinct().orderBy("task").limit(10)
 
 
 @query("""WITH RECURSIVE d AS (SELECT 'n' || n_nationkey AS phase, 'r' || n_regionkey AS needs FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), r(name, hop) AS (SELECT 'r1', 0 UNION SELECT phase, hop + 1 FROM r JOIN d ON needs = name) SELECT name, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY name""")
@@ -286,7 +286,7 @@ def graph_rag_search(spark, place):
 
     docs = tables.read(spark, place, "documents")
     edges = docs.select(F.col("source").alias("head"), F.lit("has").alias("relation"), F.col("lang").alias("tail"), F.lit(1.0).alias("weight"), F.col("source").alias("source_task")).distinct()
-    named = edges.select(F.explode(F.array("head", "tail")).alias("name"), "source_task").groupBy("name").agg(F.array_sort(F.collect_set("source_task")).alias("source_tasks"))
-    nodes = named.select("name", text.entity_type("name").alias("entity_type"), F.array().cast("array<string>").alias("aliases"), "source_tasks", F.size("source_tasks").alias("task_count"))
+    named = graph_build.mentions(edges)
+    g = graph_build.graph_of(named, identity(graph_build.entities(named)), edges)
     queries = search_queries._hybrid_queries(spark, place)
-    return plans.graph_rag(search_queries.corpus(spark, place), nodes, edges, queries, 0)
+    return plans.graph_rag(search_queries.corpus(spark, place), g, queries, 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text
 from loomgraph.hooks import Hooks
 from loomgraph.operators import bm25, dense, fusion, graph_query, summary
+from loomgraph.operators.graph_build import Graph
 from loomgraph.sources import tables
 
 
@@ -73,22 +74,22 @@ def dictionary_entities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return F.broadcast(queries.select("query", "text")).join(nodes.where(F.length("name") >= 2).select("name"), F.contains(F.lower("text"), F.lower("name"))).select("query", F.col("name").alias("entity"))
 
 
-def graph_ranks(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, seeds: DataFrame, query, depth: int = 1, max_nodes: int = 30, limit: int = 50) -> DataFrame:
+def graph_ranks(graph: Graph, tasks: DataFrame, seeds: DataFrame, query, depth: int = 1, max_nodes: int = 30, limit: int = 50) -> DataFrame:
     """(query, doc, score, rank): tasks of the entities around the seeds of one query."""
-    around = graph_query.bfs(edges, seeds.where(F.col("query") == query).select("name"), depth, max_nodes)
-    scored = graph_query.anti_idf(nodes, around, tasks, limit)
+    around = graph_query.bfs(graph.edges, seeds.where(F.col("query") == query).select("name"), depth, max_nodes)
+    scored = graph_query.anti_idf(graph, around, tasks, limit)
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
     return scored.select(F.lit(query).alias("query"), F.col("task").alias("doc"), "score").withColumn("rank", F.row_number().over(order))
 
 
-def graph_rag(corpus: Corpus, nodes: DataFrame, edges: DataFrame, queries: DataFrame, query, top_k: int = 8, rerank_multiplier: float = 2.0, graph_weight: float = 0.3, k: int = 30) -> DataFrame:
+def graph_rag(corpus: Corpus, graph: Graph, queries: DataFrame, query, top_k: int = 8, rerank_multiplier: float = 2.0, graph_weight: float = 0.3, k: int = 30) -> DataFrame:
     """Graph-RAG for one query: the vector pool and the graph's tasks fused by weighted RRF, reranked, top_k."""
     if rerank_multiplier < 1:
         raise ValueError("rerank_multiplier is 1 or more")
     one = queries.where(F.col("query") == query)
     pool = candidates(corpus, one, max(int(top_k * rerank_multiplier), top_k))
-    seeds = resolve_seeds(nodes, dictionary_entities(one, nodes))
-    fused = fusion.weighted_rrf(pool, graph_ranks(nodes, edges, corpus.tasks, seeds, query), k, graph_weight)
+    seeds = resolve_seeds(graph.nodes, dictionary_entities(one, graph.nodes))
+    fused = fusion.weighted_rrf(pool, graph_ranks(graph, corpus.tasks, seeds, query), k, graph_weight)
     short = fused.where(F.col("rank") <= max(int(top_k * rerank_multiplier), top_k))
     return rerank(short, one, corpus.tasks, corpus.hooks, top_k).join(fused.select("query", "doc", "first_rank", "second_rank"), ["query", "doc"])
 
@@ -125,8 +126,8 @@ def expand_query(index: bm25.Index, nodes: DataFrame, queries: DataFrame, max_to
     return own.select("query", "term").unionAll(extra.join(own.select("query", "term").distinct(), ["query", "term"], "left_anti"))
 
 
-def skeleton(nodes: DataFrame, edges: DataFrame, categories: DataFrame, topic: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
+def skeleton(graph: Graph, categories: DataFrame, topic: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
     """(entity, tasks, hints): the sections of a topic, each task under the first section that has it."""
-    around = graph_query.bfs(edges, nodes.where(F.col("name") == topic).select("name"), depth, max_nodes)
-    claims = nodes.join(F.broadcast(around), "name").select(F.col("name").alias("entity"), F.explode("source_tasks").alias("task"))
-    return summary.section_hints(summary.sections(claims, topic), graph_query.trace(edges, categories, topic))
+    around = graph_query.bfs(graph.edges, graph.nodes.where(F.col("name") == topic).select("name"), depth, max_nodes)
+    claims = graph.tasks.join(F.broadcast(around), "name").select(F.col("name").alias("entity"), "task")
+    return summary.section_hints(summary.sections(claims, topic), graph_query.trace(graph.edges, categories, topic))

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph_build import Graph
+
 NODE_LINK = "nodes array<struct<id:string,entity_type:string,aliases:array<string>,source_tasks:array<string>>>, links array<struct<source:string,target:string,relation:string,weight:double,source_task:string>>"
 
 
-def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a node-link JSON document."""
+def read_node_link(spark: SparkSession, path: str) -> Graph:
+    """The graph of a node-link JSON document."""
     doc = spark.read.schema(NODE_LINK).option("multiLine", True).json(path)
-    nodes = doc.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("name"), "n.entity_type", "n.aliases", "n.source_tasks", F.size("n.source_tasks").alias("task_count"))
+    rows = doc.select(F.explode("nodes").alias("n"))
+    nodes = rows.select(F.col("n.id").alias("name"), "n.entity_type", "n.aliases", F.size("n.source_tasks").alias("task_count"))
+    tasks = rows.select(F.col("n.id").alias("name"), F.explode("n.source_tasks").alias("task")).distinct()
     edges = doc.select(F.explode("links").alias("l")).select(F.col("l.source").alias("head"), "l.relation", F.col("l.target").alias("tail"), "l.weight", "l.source_task")
-    return nodes, edges
+    return Graph(nodes, tasks, edges)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str) -> None:
-    """Nodes whole, edges by extraction mode: writing one mode again replaces its edges and leaves the others."""
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.drop("extraction_mode").write.mode("overwrite").parquet(f"{path}/edges/extraction_mode={mode}")
+def write_graph(graph: Graph, path: str, mode: str) -> None:
+    """Nodes and their tasks whole, edges by extraction mode: writing one mode again replaces its edges and leaves the others."""
+    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    graph.tasks.write.mode("overwrite").parquet(f"{path}/tasks")
+    graph.edges.drop("extraction_mode").write.mode("overwrite").parquet(f"{path}/edges/extraction_mode={mode}")
 
 
 def write_rows(rows: DataFrame, path: str, order: str | None = None) -> None:
@@ -27,11 +32,10 @@ def write_rows(rows: DataFrame, path: str, order: str | None = None) -> None:
     (rows.orderBy(order) if order else rows).write.mode("overwrite").json(path)
 
 
-def write_entities(entities: DataFrame, canonical: DataFrame, path: str) -> None:
-    """entities.json: every name with its canonical name, by name. inverted_index.json: canonical names with their aliases and
-    tasks, the most tasks first."""
-    named = entities.join(canonical, "name", "left").withColumn("canonical_name", F.coalesce("canonical", "name")).drop("canonical")
-    write_rows(named.withColumnRenamed("tasks", "source_tasks"), f"{path}/entities.json", "name")
-    grouped = named.groupBy(F.col("canonical_name").alias("canonical")).agg(F.array_sort(F.collect_set("name")).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tasks")))).alias("task_ids"))
-    ordered = grouped.withColumn("task_count", F.size("task_ids")).orderBy(F.desc("task_count"), "canonical")
-    ordered.write.mode("overwrite").json(f"{path}/inverted_index.json")
+def write_entities(graph: Graph, names: DataFrame, canonical: DataFrame, path: str) -> None:
+    """entities.json: every name with its type and canonical name, by name. inverted_index.json: canonical names with their aliases,
+    the most tasks first. entity_tasks.json: their tasks, one a row."""
+    named = names.join(canonical, "name", "left").withColumn("canonical_name", F.coalesce("canonical", "name")).drop("canonical")
+    write_rows(named, f"{path}/entities.json", "name")
+    graph.nodes.orderBy(F.desc("task_count"), "name").write.mode("overwrite").json(f"{path}/inverted_index.json")
+    write_rows(graph.tasks, f"{path}/entity_tasks.json")

@@ -41,8 +41,11 @@ def test_similar_pairs_agree_with_all_pairs(spark):
 def test_triple_graph(spark):
     t = spark.createDataFrame([("A", "r", "B", 0.5, "T1"), ("A", "r", "B", 0.7, "T2"), ("Bb", "r", "Bb", 1.0, "T3")], "head string, relation string, tail string, confidence double, source_task string")
     canonical = spark.createDataFrame([("A", "A"), ("B", "B"), ("Bb", "B")], "name string, canonical string")
-    nodes, es = graph_build.triple_graph(t, canonical)
-    assert {r.name: (r.aliases, r.source_tasks, r.task_count) for r in nodes.collect()} == {"A": ([], ["T1", "T2"], 2), "B": (["Bb"], ["T1", "T2", "T3"], 3)}
+    g = graph_build.triple_graph(t, canonical)
+    nodes, es = g.nodes, g.edges
+    assert {r.name: (r.aliases, r.task_count) for r in nodes.collect()} == {"A": ([], 2), "B": (["Bb"], 3)}
+    assert sorted(map(tuple, g.tasks.collect())) == [("A", "T1"), ("A", "T2"), ("B", "T1"), ("B", "T2"), ("B", "T3")]
+    assert [r.task for r in graph_query.tasks_of(g, "A").orderBy("task").collect()] == ["T1", "T2"]
     assert sorted((r.head, r.tail, r.weight) for r in es.collect()) == [("A", "B", 0.5), ("A", "B", 0.7), ("B", "B", 1.0)]
     assert {r.name: r.degree for r in graph_build.degrees(es).collect()} == {"A": 2, "B": 4}
     s = graph_build.stats(nodes, es, canonical).first()
@@ -114,16 +117,20 @@ def test_prune_and_isolates(spark):
 
 def test_graph_sinks(spark, tmp_path):
     e = edges(spark, ("a", "r", "b", 1, "T")).withColumn("extraction_mode", F.lit("triple"))
-    n = nodes(spark, ("a", [], "1"))
+    g = graph_build.Graph(nodes(spark, ("a", [], "1")), spark.createDataFrame([("a", "1")], "name string, task string"), e)
     for _ in range(2):
-        graphs.write_graph(n, e, str(tmp_path / "g"), "triple")
-    graphs.write_graph(n, e, str(tmp_path / "g"), "entity")
+        graphs.write_graph(g, str(tmp_path / "g"), "triple")
+    graphs.write_graph(g, str(tmp_path / "g"), "entity")
+    names = spark.createDataFrame([("a", "concept"), ("b", "concept")], "name string, entity_type string")
+    graphs.write_entities(g, names, spark.createDataFrame([("b", "a")], "name string, canonical string"), str(tmp_path / "e"))
+    assert {r.name: r.canonical_name for r in spark.read.json(str(tmp_path / "e/entities.json")).collect()} == {"a": "a", "b": "a"}
+    assert spark.read.json(str(tmp_path / "e/entity_tasks.json")).first().task == "1"
     assert spark.read.parquet(str(tmp_path / "g/edges")).groupBy("extraction_mode").count().collect().__len__() == 2
     assert spark.read.parquet(str(tmp_path / "g/edges")).count() == 2
     doc = {"nodes": [{"id": "a", "entity_type": "t", "aliases": [], "source_tasks": ["T"]}], "links": [{"source": "a", "target": "a", "relation": "r", "weight": 1.0, "source_task": "T"}]}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
-    nn, ee = graphs.read_node_link(spark, str(tmp_path / "g.json"))
-    assert (nn.first().name, ee.first().tail) == ("a", "a")
+    read = graphs.read_node_link(spark, str(tmp_path / "g.json"))
+    assert (read.nodes.first().name, read.tasks.first().task, read.edges.first().tail) == ("a", "T", "a")
 
 
 def test_html_tables(spark):

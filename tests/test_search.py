@@ -117,18 +117,20 @@ def test_search_end_to_end(spark):
 
 
 def test_graph_rag(spark):
-    from loomgraph.operators import graph_query
+    from loomgraph.operators import graph_build, graph_query
 
-    nodes = spark.createDataFrame([("A", [], ["T0", "T1"]), ("B", [], ["T0", "T1", "T2", "T3", "T4"]), ("C", [], ["T2"])], "name string, aliases array<string>, source_tasks array<string>").withColumn("task_count", F.size("source_tasks"))
+    nodes = spark.createDataFrame([("A", [], 2), ("B", [], 5), ("C", [], 1)], "name string, aliases array<string>, task_count int")
+    of = spark.createDataFrame([("A", "T0"), ("A", "T1"), *[("B", f"T{i}") for i in range(5)], ("C", "T2")], "name string, task string")
     edges = spark.createDataFrame([("A", "r", "B", 1.0, "T0")], "head string, relation string, tail string, weight double, source_task string")
     tasks = spark.createDataFrame([(f"T{i}",) for i in range(5)], "task string")
     seeds = spark.createDataFrame([("q", "A")], "query string, name string")
-    ranks = search.graph_ranks(nodes, edges, tasks, seeds, "q")
+    graph = graph_build.Graph(nodes, of, edges)
+    ranks = search.graph_ranks(graph, tasks, seeds, "q")
     a, b = math.log(1 + 5 / 2), math.log(2)
     assert {r.doc: round(r.score, 9) for r in ranks.collect()} == {"T0": round(a + b, 9), "T1": round(a + b, 9), "T2": round(b, 9), "T3": round(b, 9), "T4": round(b, 9)}
     vector = spark.createDataFrame([("q", f"T{i}", i + 1) for i in range(3)], "query string, doc string, rank int")
     assert {r.source: r.n for r in fusion.source_distribution(fusion.weighted_rrf(vector, ranks)).collect()} == {"both": 3, "graph": 2}
-    assert graph_query.anti_idf(nodes, spark.createDataFrame([("A",)], "name string"), tasks.limit(0)).count() == 0
+    assert graph_query.anti_idf(graph, spark.createDataFrame([("A",)], "name string"), tasks.limit(0)).count() == 0
 
 
 def test_alias_expansion(spark):

@@ -12,10 +12,11 @@ def served(spark):
     t = spark.createDataFrame([("T0", "s", "l0", "kafka stream setup", "2024-01-01", ["c0"]), ("T1", "s", "l1", "postgres index", "2024-01-02", ["c1"]), ("T2", "u", "l2", "kafka broker tuning", "", ["c2"])], "task string, session string, label string, summary string, created_at string, chunk_ids array<string>")
     t = t.withColumn("embedding", hooks.embed(F.col("summary")))
     chunks = spark.createDataFrame([(f"c{i}", f"T{i}", s, s + " in full") for i, s in enumerate(["kafka stream", "postgres", "kafka broker"])], "chunk string, task string, summary string, content string")
-    nodes = spark.createDataFrame([("kafka", ["Apache Kafka"], ["T0", "T2"], 2), ("postgres", [], ["T1"], 1)], "name string, aliases array<string>, source_tasks array<string>, task_count int").withColumn("entity_type", F.lit("tool"))
+    nodes = spark.createDataFrame([("kafka", ["Apache Kafka"], 2), ("postgres", [], 1)], "name string, aliases array<string>, task_count int").withColumn("entity_type", F.lit("tool"))
+    of = spark.createDataFrame([("kafka", "T0"), ("kafka", "T2"), ("postgres", "T1")], "name string, task string")
     edges = spark.createDataFrame([("kafka", "uses", "postgres", 0.9, "T0", "triple")], "head string, relation string, tail string, weight double, source_task string, extraction_mode string")
     cats = spark.createDataFrame([("uses", "chosen")], "relation string, category string")
-    return service.Service(search.Corpus(t, chunks, hooks), nodes, edges, cats)
+    return service.Service(search.Corpus(t, chunks, hooks), graph_build.Graph(nodes, of, edges), cats)
 
 
 def test_tools(served):
@@ -39,11 +40,11 @@ def test_search_tools(served):
     assert plain.call("summarize", query="postgres index", top_k=1).first().doc == "T1"
     sections = {r.entity: (r.tasks, r.hints) for r in served.call("skeleton_summarize", topic="the kafka topic").collect()}
     assert sections == {"kafka": (["T0", "T2"], ["uses postgres"]), "postgres": (["T1"], ["uses kafka"])}
-    assert service.resolve_topic(served.nodes, "zzz") is None
+    assert service.resolve_topic(served.graph.nodes, "zzz") is None
 
 
 def test_context(served):
-    got = service.build_context(served.nodes, served.edges, served.corpus.tasks, "How is Kafka set up?")
+    got = service.build_context(served.graph, served.corpus.tasks, "How is Kafka set up?")
     assert [r.task for r in got.collect()] == ["T0", "T1", "T2"]
 
 
