@@ -75,7 +75,7 @@ class Scorer:
         return float(p.sum()), float(p[0])
 
 
-def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, width: int, ridge: float = 1e-5, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, width: int, ridge: float = 1e-5, rounds: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by full-batch Adam on the mean log-likelihood. rows and values are sparse rows."""
     levels = max(2, int(grade.max(initial=1)) + 1)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -106,9 +106,10 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndar
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 3, least_ratio: float = 10.0, least_g: float = 12.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 3, least_share: float = 0.004, least_ratio: float = 10.0, least_g: float = 12.0) -> Model:
     """Learns from at most sample_rows labelled rows, equal texts once. Unlabelled rows, null labels and labels without a document do not
-    count; without any toxic row the model finds every text clean."""
+    count; without any toxic row the model finds every text clean. A feature is in least_texts toxic texts and in least_share of
+    them at least."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull())
     chosen = known.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates(["text"])
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = scratch.cut(sample.select(id_col, F.col("y").cast("int"), "text").mapInArrow(counted, "y int, f array<string>, n array<int>"), "labelled")
     n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
-    share = rows.select((F.col("y") > 0).cast("int").alias("y"), F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("t")).where(F.col("a") >= least_texts)
+    share = rows.select((F.col("y") > 0).cast("int").alias("y"), F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("t")).where(F.col("a") >= max(least_texts, least_share * pos))
     b = F.col("t") - F.col("a")
     share = share.withColumn("ratio", (F.col("a") / pos) / ((b + 0.5) / neg))
     expect_a, expect_b = F.col("t") * pos / (pos + neg), F.col("t") * neg / (pos + neg)
