@@ -25,7 +25,8 @@ class Index:
 
 
 def build(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> Index:
-    words = docs.select(F.col(doc).alias("doc"), F.explode(F.array(text.tokens(body))).alias("w")).where(F.size("w") > 0)
+    rows = tables.spread(docs.select(F.col(doc).alias("doc"), F.col(body).alias("body")))
+    words = rows.select("doc", F.explode(F.array(text.tokens("body"))).alias("w")).where(F.size("w") > 0)
     postings = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     corpus = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)

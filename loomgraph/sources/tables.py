@@ -43,3 +43,11 @@ def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
     counts = placed.groupBy("_range").agg(F.count("*").alias("_of"))
     begin = counts.withColumn("_begin", F.coalesce(F.sum("_of").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_begin")
     return placed.join(F.broadcast(begin), "_range").withColumn(name, F.col("_begin") + F.col("_in")).drop("_range", "_in", "_begin")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read from fewer files than half of them: work on its rows that costs more than moving them
+    would else run in one task. Tables of many files stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores // 2 else df
