@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontaminate, line_dedup, scratch, simhash, toxicity
+from loomgraph.llm import bpe, decontaminate, line_dedup, near_copies, scratch, toxicity
 from loomgraph.llm.queries import RANKS, table
 
 
@@ -26,9 +26,10 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Five-word shingles and three lanes: texts link
-    if 60 of 64 bits agree in any lane, which stands for a similarity of about 0.9; closer pairs are found more surely."""
-    groups = simhash.near_duplicates(docs, words=5, lanes=3).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    """Of each group of near copies the document with the smallest id stays. Texts link if the Jaccard similarity of their
+    five-word shingles is 0.8 or more, by their shingles themselves; MinHash bands find the candidates, as 64-bit SimHashes
+    cannot tell such pairs from others. Null and wordless texts are nobody's copies."""
+    groups = near_copies.near_copies(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,5 +1,8 @@
+import random
+
 import corpus_pipeline
 import pytest
+from loomgraph.llm import near_copies
 
 ITEM = "Which of these rivers is the longest one that flows into the northern sea today"
 
@@ -22,3 +25,49 @@ def test_passage_of_one_benchmark_item_is_dropped(spark, wide, frame, folder):
     docs = wide((1, f"Before it. {ITEM}? And after it."), (2, f"x {part.upper()} y"), (3, " ".join(ITEM.split()[:7]) + " end"), (4, None), (5, "clean"))
     left = corpus_pipeline.without_benchmark(spark, docs, place)
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5] and left.columns == docs.columns
+
+
+def shingles(text):
+    tokens = (text or "").lower().split()
+    return {tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))} if tokens else set()
+
+
+def copies(rows, least=0.8):
+    """Ids of rows whose group, by all pairs, has a smaller id."""
+    sets = {i: shingles(t) for i, t in rows}
+    low = {i: i for i in sets}
+    while True:
+        near = {i: [j for j in sets if sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9] for i in sets}
+        new = {i: min([low[i], *(low[j] for j in near[i])]) for i in sets}
+        if new == low:
+            return {i for i in low if low[i] != i}
+        low = new
+
+
+def changed(rng, words, edits):
+    """words with so many of them replaced, evenly spread."""
+    out = list(words)
+    for k in range(edits):
+        out[(2 * k + 1) * len(out) // (2 * edits)] = f"new{rng.random()}"
+    return out
+
+
+def test_near_copies_at_the_bound_are_found(spark, wide):
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, "\n".join(changed(rng, base, int(len(base) * 0.1 / 5))).upper())]
+    alike = [len(a & b) / len(a | b) for a, b in ((shingles(rows[i][1]), shingles(rows[i + 1][1])) for i in range(0, 80, 2))]
+    assert 0.8 <= min(alike) and max(alike) < 0.87
+    left = corpus_pipeline.without_near_copies(spark, wide(*rows), "")
+    assert {r.doc_id for r in left.collect()} == {2 * k for k in range(40)} and left.columns == wide().columns
+
+
+def test_large_group_is_joined(spark, wide, monkeypatch):
+    monkeypatch.setattr(near_copies, "LOOK_BACK", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(changed(rng, base, rng.randint(0, 2)))) for i in range(150)] + [(1000, "Short One"), (1001, "short  one"), (1000, "another text of the same id")]
+    got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(wide(*rows)).collect()}
+    assert got == {(i, 0) for i in range(150)} | {(1000, 1000), (1001, 1000)}
