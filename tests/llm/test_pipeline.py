@@ -71,3 +71,14 @@ def test_large_group_is_joined(spark, wide, monkeypatch):
     rows = [(i, " ".join(changed(rng, base, rng.randint(0, 2)))) for i in range(150)] + [(1000, "Short One"), (1001, "short  one"), (1000, "another text of the same id")]
     got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(wide(*rows)).collect()}
     assert got == {(i, 0) for i in range(150)} | {(1000, 1000), (1001, 1000)}
+
+
+def test_only_verified_copies_are_dropped(spark, wide):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(300)] for _ in range(12)]
+    rows = [(100 * k + n, " ".join(changed(rng, b, n))) for k, b in enumerate(base) for n in range(0, 16)]
+    want = copies(rows)
+    assert len(want) < len(rows) - len(base)
+    odd = [(5000, None), (5001, None), (5002, ""), (5003, " \n"), (5004, "word"), (5005, "Word")]
+    left = corpus_pipeline.without_near_copies(spark, wide(*rows, *odd), "")
+    assert {i for i, _ in rows + odd} - {r.doc_id for r in left.collect()} == want | {5005}
