@@ -20,15 +20,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents hold stay in one of them. Texts that lose nothing, nulls
     among them, stay as they are."""
-    changed = F.col("n_dropped") > 0
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return line_dedup.without_common_lines(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays. Texts link if the Jaccard similarity of their
-    five-word shingles is 0.8 or more, by their shingles themselves; MinHash bands find the candidates, as 64-bit SimHashes
-    cannot tell such pairs from others. Null and wordless texts are nobody's copies."""
+    five-word shingles is 0.8 or more, by their shingles themselves; segments of wide SimHashes find the candidates. Null and
+    wordless texts are nobody's copies."""
     groups = near_copies.near_copies(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 

@@ -4,7 +4,7 @@ A line's key is the line without the ASCII white space at its ends, A-Z lower-ca
 offers each hash once, so counting documents is a plain sum with map-side combining, whatever line is common. Only
 lines of hashes over the threshold take part in the join that finds positions, and documents get back an array of
 positions to leave out. The table of common hashes is broadcast only below a checked size; beyond it the join is
-shuffled, where adaptive execution splits the hot hashes.
+shuffled, where adaptive execution splits the hot hashes. A document is put together again in one pass over its lines.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from . import scratch
 
 _SPACE = b" \t\n\v\f\r"
-#: Bytes that the table of common hashes may take to be broadcast: 24 for each row.
-BROADCAST_BYTES = 32 << 20
+#: Bytes that the table of common hashes may take to be broadcast: 64 for each row in a hash table.
+BROADCAST_BYTES = 64 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -80,7 +80,7 @@ def common_lines(hashes: DataFrame, id_col: str = "doc_id", least_docs: int = 3)
 
 def _small(table: DataFrame) -> DataFrame:
     """table, to be broadcast if its counted rows fit the bound."""
-    return F.broadcast(table) if table.count() * 24 <= BROADCAST_BYTES else table
+    return F.broadcast(table) if table.count() * 64 <= BROADCAST_BYTES else table
 
 
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
@@ -91,24 +91,61 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return lost.groupBy(id_col).agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """docs with three more columns: kept_text (the lines that stay, joined by line feeds), n_lines and n_dropped.
+def _reassembled(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int) -> DataFrame:
+    """(row, text, kept, n_lines, n_dropped): row is a struct of the other columns, so that no name can clash. kept is null where
+    nothing is dropped."""
+    gone = dropped_positions(docs, id_col, text_col, least_chars, least_docs).select(F.col(id_col).alias("of"), "gone")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    joined = rows.join(gone, F.col("id") == F.col("of"), "left").select("row", "text", "gone")
+    schema = StructType([joined.schema["row"], *(StructField(n, k) for n, k in (("text", StringType()), ("kept", StringType()), ("n_lines", LongType()), ("n_dropped", LongType())))])
+
+    def run(batches):
+        for batch in batches:
+            kept, lines, dropped = [], [], []
+            for text, positions in zip(batch.column(1), batch.column(2)):
+                if not positions.is_valid:
+                    kept.append(None)
+                    lines.append(text.as_buffer().to_pybytes().count(b"\n") + 1 if text.is_valid else 1)
+                    dropped.append(0)
+                    continue
+                out, all_lines = set(positions.as_py()), (text.as_py() or "").split("\n")
+                stay = [line for i, line in enumerate(all_lines) if i not in out]
+                kept.append("\n".join(stay) if len(stay) < len(all_lines) else None)
+                lines.append(len(all_lines))
+                dropped.append(len(all_lines) - len(stay))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def _back(docs: DataFrame, text_col: str, text) -> list:
+    """The columns of docs in their order, from a reassembled table."""
+    return [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
+    """docs with three more columns: the lines that stay, joined by line feeds, and the numbers of lines and of dropped ones.
 
     A line whose key has least_chars code points or more and is found in least_docs distinct documents or more stays
     only in the document with the largest id that holds it (there with all its repeats); shorter and rarer lines stay
     everywhere. Null and empty texts are one empty line and come back as an empty text. Rows with a null id keep their
     lines and are not counted. Rows that repeat an id count as one document; each of them loses the lines that any of them
-    loses by position. Other columns pass through; those named like the three are replaced.
+    loses by position. Other columns pass through whatever their names; one named like one of `names` is an error.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    gone = dropped_positions(docs, id_col, text_col, least_chars, least_docs).withColumnRenamed(id_col, "_lines_of")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = docs.join(gone, F.col(id_col) == F.col("_lines_of"), "left")
-    stay = F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.array_compact(F.transform(F.col("_lines"), lambda line, i: F.when(F.array_contains("gone", i), None).otherwise(line))), "\n"))
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("kept_text", stay)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda i: i < F.size("_lines")))).cast("long"))
-        .drop("_lines", "gone", "_lines_of")
-    )
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs already has a column of {names}; give other names")
+    made = _reassembled(docs, id_col, text_col, least_chars, least_docs)
+    new = (F.coalesce("kept", "text", F.lit("")), F.col("n_lines"), F.col("n_dropped"))
+    return made.select(*_back(docs, text_col, F.col("text")), *[c.alias(n) for c, n in zip(new, names)])
+
+
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, **how) -> DataFrame:
+    """docs with the texts that dedup_lines() keeps; chars_col, if given, becomes the length of a text that changed. Texts that lose
+    nothing, nulls among them, and all other columns stay as they are."""
+    made = _reassembled(docs, id_col, text_col, **({"least_chars": 20, "least_docs": 3} | how))
+    out = made.select(*_back(docs, text_col, F.coalesce("kept", "text")), F.col("kept").alias("_k" + "_" * max(map(len, docs.columns))))
+    kept = out.columns[-1]
+    if chars_col:
+        out = out.withColumn(chars_col, F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
+    return out.drop(kept)

@@ -1,30 +1,55 @@
-"""Near copies by the similarity of their word shingles: MinHash bands give the candidates, shingle sets verify them.
-
-The similarity is Jaccard's, of the sets of five-word shingles. Two texts agree in one MinHash with that probability, so
-of BANDS keys of ROWS MinHashes each they share one with 1 - (1 - s^ROWS)^BANDS: all but 3 in 100,000 pairs at 0.8. (At 0.8
-two 64-bit SimHashes differ by 10 bits on average. Reaching such pairs takes a radius at which unrelated texts meet too.)
-
-Texts that are equal after lower-casing and white space are one class, which enters once. Under a key, classes lie in an
-order of the key's own. First each is compared with the one before it in FIRST bands; then, in all bands, with those of the
-LOOK_BACK before it that verified links have not joined to it. Keys of up to LOOK_BACK + 1 classes are so searched wholly,
-and in fuller ones (large groups of near copies) the pairs do not grow with the square of the group.
+"""Near copies by a similarity bound: SimHash with multi-index hashing gives the candidates, shingle sets verify them.
+
+The similarity is Jaccard's, of the sets of five-word shingles. A bit of two SimHashes differs with probability
+acos(2s / (1 + s)) / pi, 0.15 at s = 0.8, so 64 bits cannot tell such pairs from others and wide fingerprints are made. They
+are cut into segments of `bits` bits; every text enters the Hamming ball of radius 1 of each of its segments, so two texts meet
+if a segment of theirs differs by two bits or fewer. bits follows the logarithm of the number of texts, which keeps chance
+meetings few at any size; the number of segments follows from the recall wanted of pairs at the bound. 64 more bits go with
+every row: pairs far apart in them are not candidates. Then the complete distance is checked, and last the sets.
+
+Texts that are equal after lower-casing and white space are one class, which enters once. Large groups are joined without their
+pairs: first, under the keys of FIRST segments, each class is linked to the nearest of those before it; then, under all keys, only
+pairs that verified links have not joined are tried, all of them. Keys fuller than FULL_KEY are cut into blocks, and each pair of
+blocks is work of its own.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import scratch
 from .components import connected_components
 
-BANDS, ROWS, FIRST, LOOK_BACK = 20, 4, 4, 64
-SEED = 42
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+RECALL, FIRST, FULL_KEY, SEED = 0.995, 2, 512, 42
+#: Bytes of (class, id) rows that may be broadcast to pick the texts that have to be compared: 48 for each.
+BROADCAST_BYTES = 16 << 20
+_PIECE = 255
+
+
+def differ(least: float) -> float:
+    """The probability that a bit of the SimHashes differs, of two texts of this similarity."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def plan(rows: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits in a segment, segments)."""
+    bits, p = min(32, max(16, math.ceil(math.log2(max(2, rows))))), differ(least)
+    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def reach(width: int, least: float, deviations: float = 3.5) -> int:
+    """The largest distance in `width` bits that pairs at the bound have, all but a few in ten thousand."""
+    p = differ(least)
+    return min(width, math.ceil(width * p + deviations * math.sqrt(width * p * (1 - p))))
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -35,92 +60,170 @@ def _class(tokens: list[bytes]) -> bytes:
     return xxhash.xxh128_digest(b" ".join(tokens))
 
 
-def shingles(tokens: list[bytes], words: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of the shingles; fewer words than that are one shingle."""
-    n = max(1, len(tokens) - words + 1) if tokens else 0
-    line = b" ".join(tokens)
-    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[:n].tolist()
-    end = (end[words - 1 :] if len(tokens) > words else end[-1:]).tolist()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(start, end)), dtype=np.uint64, count=n))
+_PLACE = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """BANDS signed longs, each of ROWS MinHashes."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, i : i + (1 << 12)]).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
-
-
-def _signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id_col, class, keys) of every row that has words."""
-    schema = StructType([docs.schema[id_col], StructField("class", BinaryType()), StructField("keys", ArrayType(LongType(), False))])
+def shingles(tokens: list[bytes], words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the shingles, each from the hashes of its words by their places; fewer words than that are one
+    shingle."""
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(SEED)), dtype=np.uint64, count=len(tokens))
+    words = min(words, len(h))
+    n = len(h) - words + 1
+    out = np.full(n, words, dtype=np.uint64)
+    for k in range(words):
+        out += h[k : k + n] * _PLACE[k]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    out = np.sort(out ^ (out >> np.uint64(32)))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+#: The eight bits of a byte, each in a byte of a long: sums of up to 255 of them do not overflow.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """lanes longs of 64 bits: the SimHash of a set of hashes. Every lane mixes the hashes anew."""
+    ones = np.zeros(lanes * 64, dtype=np.int64)
+    step = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, lanes + 1, dtype=np.uint64)
+    for i in range(0, len(hashes), _PIECE):
+        x = hashes[i : i + _PIECE, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += _SPREAD[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def segments(prints: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """(rows, count) keys: the segment's number above its value."""
+    flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : bits * count].reshape(len(prints), count, bits)
+    return (flat * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(count, dtype=np.int64) << 32)
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, count: int) -> DataFrame:
+    """(id_col, class, parts, lanes) of every row that has words; the last lane is not cut into segments."""
+    lanes = -(-bits * count // 64) + 1
+    schema = StructType([docs.schema[id_col], StructField("class", BinaryType()), StructField("parts", ArrayType(LongType(), False)), StructField("lanes", ArrayType(LongType(), False))])
+
+    def rows_of(table: np.ndarray) -> pa.Array:
+        flat = np.ascontiguousarray(table).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(flat))
 
     def run(batches):
         for batch in batches:
             found = [(i, t) for i, t in ((i, _tokens(x.as_py())) for i, x in enumerate(batch.column(1))) if t]
-            flat = [k for _, t in found for k in band_keys(shingles(t, words))]
-            ends = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
+            prints = np.array([wide_fingerprint(shingles(t, words), lanes) for _, t in found], dtype=np.uint64).reshape(len(found), lanes)
             ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_class(t) for _, t in found], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_class(t) for _, t in found], pa.binary()), rows_of(segments(prints, bits, count)), rows_of(prints)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _balls(nodes: DataFrame, bits: int, parts: Column, *also) -> DataFrame:
+    """(node, fp, *also, key): every class under the keys at distance 1 or less from each of its segments."""
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(bits))]])
+    each = nodes.select("node", F.element_at("lanes", -1).alias("fp"), *also, F.explode(parts).alias("part"))
+    return each.select("node", "fp", *also, F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m))).alias("key"))
+
+
+def _bits(a, b) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(class, hashes) of the wanted (class, low) classes, from rows whose id is low."""
+    """(node, hashes) of the wanted (node, class, low) classes, from rows whose id is low."""
 
     def run(batches):
         for batch in batches:
-            keys, sets = [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            nodes, sets = [], []
+            for node, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = _tokens(text)
                 if _class(tokens) == key:  # ids may repeat
-                    keys.append(key)
+                    nodes.append(node)
                     sets.append(shingles(tokens, words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    rows = docs.join(wanted, docs[id_col] == wanted["low"]).select("class", text_col)
-    return rows.mapInArrow(run, "class binary, hashes array<long>").dropDuplicates(["class"])
+    small = F.broadcast(wanted) if wanted.count() * 48 <= BROADCAST_BYTES else wanted
+    return docs.join(small, docs[id_col] == small["low"]).select("node", "class", text_col).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, id_col: str, text_col: str, words: int) -> DataFrame:
-    """The (u, v) of pairs whose similarity is least or more."""
-    wanted = nodes.select("class", "low").join(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "class")
+    """The (u, v) of the distinct pairs whose similarity is least or more. pairs and nodes are written tables."""
+    lanes = nodes.select("node", "lanes")
+    width = 64 * (nodes.select(F.size("lanes").alias("n")).agg(F.max("n")).first()[0] or 0)
+    apart = F.expr("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    whole = pairs.join(lanes.select(F.col("node").alias("u"), F.col("lanes").alias("a")), "u").join(lanes.select(F.col("node").alias("v"), F.col("lanes").alias("b")), "v")
+    close = scratch.cut(whole.where(apart <= reach(width, least)).select("u", "v"), "close")
+    ends = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = scratch.cut(nodes.select("node", "class", "low").join(ends, "node"), "wanted")
     sets = scratch.cut(_sets(docs, wanted, id_col, text_col, words), "sets")
-    a, b = sets.select(F.col("class").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("class").alias("v"), F.col("hashes").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return both.where(F.col("both") >= F.lit(least) * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
+    a, b = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    both = close.join(a, "u").join(b, "v").select("u", "v", (F.size("a") + F.size("b")).alias("sum"), F.size(F.array_intersect("a", "b")).alias("both"))
+    out = scratch.cut(both.where(F.col("both") >= F.lit(least) * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v"), "links")
+    for table in (close, wanted, sets):
+        scratch.drop(table)
+    return out
+
+
+def _nearest_before(nodes: DataFrame, bits: int, least: float) -> DataFrame:
+    """(u, v), at most one for each class: it and the nearest of the classes that come just before it under a key of the first
+    segments."""
+    under = Window.partitionBy("key").orderBy("fp", "node")
+    rows = _balls(nodes, bits, F.slice("parts", 1, FIRST)).withColumn("before", F.lag(F.struct("node", "fp")).over(under))
+    met = rows.where("before is not null").select("node", F.col("before.node").alias("other"), _bits("fp", "before.fp").alias("apart")).where(F.col("apart") <= reach(64, least))
+    best = met.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("m"))
+    return best.select(F.least("node", "m.other").alias("u"), F.greatest("node", "m.other").alias("v")).distinct()
+
+
+def _still_apart(nodes: DataFrame, joined: DataFrame, bits: int, least: float, full_key: int) -> DataFrame:
+    """(u, v): all pairs that meet under a key, lie near enough and are not joined yet."""
+    known = nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    rows = _balls(known, bits, F.col("parts"), "comp")
+    under = Window.partitionBy("key").orderBy("fp", "node")
+    met = rows.withColumn("before", F.collect_list(F.struct("node", "fp", "comp")).over(under.rowsBetween(-full_key, -1))).withColumn("n", F.row_number().over(under))
+    near = F.expr(f"transform(filter(before, y -> y.comp <> comp and bit_count(fp ^ y.fp) <= {reach(64, least)}), y -> y.node)")
+    found = scratch.cut(met.select("key", "node", near.alias("near"), (F.col("n") == full_key + 2).alias("full")).where("size(near) > 0 or full"), "met")
+    ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
+    pairs = found.select("node", F.explode("near").alias("other")).select(ordered)
+    # Only the pairs of these keys that lie further apart than full_key are left.
+    full = scratch.cut(found.where("full").select("key"), "full")
+    if not full.isEmpty():
+        small = F.broadcast(full) if full.count() * 64 <= BROADCAST_BYTES else full
+        kept = scratch.cut(rows.join(small, "key"), "fuller")
+        mixed = kept.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", F.ceil(F.col("m") / full_key).alias("blocks"))
+        dealt = kept.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        left = dealt.select("key", F.col("mine").alias("b1"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("b2"), "node", "fp", "comp")
+        right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))).alias("b1"), F.col("mine").alias("b2"), F.col("node").alias("other"), F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
+        rest = left.join(right, ["key", "b1", "b2"]).where((F.col("node") != F.col("other")) & (F.col("comp") != F.col("comp2")) & (_bits("fp", "fp2") <= reach(64, least)))
+        pairs = pairs.unionByName(rest.select(ordered))
+    return pairs.distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, recall: float = RECALL, full_key: int = FULL_KEY) -> DataFrame:
     """(id_col, component_id): the group of every row whose id is not null and whose text has words.
 
-    Texts link if their similarity is least or more; component_id is the smallest id that links reach. Other columns of
-    docs are ignored.
+    Texts link if their similarity is least or more; pairs at the bound become candidates with probability recall, closer
+    ones more surely, equal texts always. component_id is the smallest id that links reach.
+    Null and wordless texts are in no group. Repeated ids give one row each. Other columns of docs are ignored.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
-    signed = scratch.cut(_signed(docs, id_col, text_col, words), "signed")
-    nodes = scratch.cut(signed.groupBy("class").agg(F.min(id_col).alias("low"), F.first("keys").alias("keys")), "nodes")
-    rows = nodes.select("class", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("class", "key"))
-    under = Window.partitionBy("key").orderBy("order", "class")
-    met = rows.withColumn("before", F.lag("class").over(under)).withColumn("after", F.lead("class").over(under))
-    met = scratch.cut(met.where("before is not null or after is not null"), "met")
-
-    ordered = [F.least("class", "before").alias("u"), F.greatest("class", "before").alias("v")]
-    tried = scratch.cut(met.where(f"band < {FIRST} and before is not null").select(ordered).distinct(), "pairs")
-    links = scratch.cut(_verified(tried, nodes, docs, least, id_col, text_col, words), "links")
-    joined = connected_components(links, "u", "v").withColumnRenamed("node", "class")
-    known = met.select("class", "key", "order").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    earlier = F.collect_list(F.struct("class", "component")).over(under.rowsBetween(-LOOK_BACK, -1))
-    apart = known.withColumn("earlier", earlier).select("class", F.explode(F.expr("transform(filter(earlier, y -> y.component <> component), y -> y.class)")).alias("before"))
-    more = scratch.cut(apart.select(ordered).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(scratch.cut(_verified(more, nodes, docs, least, id_col, text_col, words), "links"))
-
-    found = scratch.cut(connected_components(links, "u", "v").withColumnRenamed("node", "class"), "found")
-    lows = found.join(nodes.select("class", "low"), "class").groupBy("component").agg(F.min("low").alias("least_id"))
-    of = found.join(lows, "component").select("class", "least_id")
-    return signed.join(nodes.select("class", "low"), "class").join(of, "class", "left").select(id_col, F.coalesce("least_id", "low").alias("component_id"))
+    bits, count = plan(docs.count(), least, recall)
+    signed = scratch.cut(_signed(docs, id_col, text_col, words, bits, count), "signed")
+    classes = scratch.cut(signed.groupBy("class").agg(F.min(id_col).alias("low"), F.first("parts").alias("parts"), F.first("lanes").alias("lanes")), "classes")
+    nodes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    scratch.drop(classes)
+    how = (nodes, docs, least, id_col, text_col, words)
+
+    tried = scratch.cut(_nearest_before(nodes, bits, least), "tried")
+    links = _verified(tried, *how)
+    joined = scratch.cut(connected_components(links, "u", "v"), "joined")
+    more = scratch.cut(_still_apart(nodes, joined, bits, least, full_key).join(tried, ["u", "v"], "left_anti"), "more")
+    links = links.unionByName(_verified(more, *how))
+
+    found = scratch.cut(connected_components(links, "u", "v"), "found")
+    lows = found.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least_id"))
+    of = found.join(lows, "component").select("node", "least_id")
+    known = nodes.select("node", "class", "low").join(of, "node", "left").select("class", F.coalesce("least_id", "low").alias("component_id"))
+    return signed.join(known, "class").select(id_col, "component_id")

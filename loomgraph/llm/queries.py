@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, scratch, simhash, toxicity, url_filter, warc
 
 #: (verdict, host, path)
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -117,7 +117,7 @@ WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpo
      v AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS r FROM u),
      w AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   substr(r, length(regexp_extract(r, '^[^/]*')) + 1) AS path FROM v),
-     rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+     rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
      m AS (SELECT w.page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
            FROM w JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY w.page_id)
 SELECT w.page_id, w.host, w.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM w LEFT JOIN m USING (page_id)""",

@@ -1,4 +1,8 @@
-"""URL filters: a broadcast trie over reversed host labels, then path segments; the longest match decides."""
+"""URL filters: a broadcast trie over reversed host labels, then path segments; the longest match decides.
+
+A list too large for a broadcast is joined instead: on the page's host suffixes, then on (host, beginning of the path)
+for the lengths that the host's rules have. Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,13 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: A list larger than this would not fit a broadcast; such lists belong in a join on host suffixes.
-MOST_RULES = 2_000_000
+from . import scratch
+
+#: Bytes that the trie may take to be broadcast: RULE_BYTES a rule and four for each of its characters.
+BROADCAST_BYTES, RULE_BYTES = 64 << 20, 1500
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -28,6 +35,8 @@ class _Path:
     next: dict[str, "_Path"] = field(default_factory=dict)
     #: Rules that end inside a segment: its beginning -> (rule, verdict). The empty beginning fits any segment.
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: The lengths of these beginnings, longest first: no others need to be tried, however long a segment is.
+    lengths: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -36,18 +45,22 @@ class _Host:
     path: _Path | None = None
 
 
+def checked(rule: tuple[str, str, str]) -> tuple[str, str, str]:
+    """The rule with its host's A-Z lower-cased."""
+    verdict, host, path = rule
+    if verdict not in ("allow", "block") or path and path[0] != "/":
+        raise ValueError(f"not a rule: {rule}")
+    return verdict, split_url(f"://{host}")[0], path
+
+
 class Trie:
     """Rules are (verdict, host, path): verdict is allow or block, path a prefix that begins with / or is empty."""
 
     def __init__(self, rules):
         self.root = _Host()
-        for n, (verdict, host, path) in enumerate(rules):
-            if n >= MOST_RULES:
-                raise ValueError(f"more than {MOST_RULES} rules")
-            if verdict not in ("allow", "block") or path and path[0] != "/":
-                raise ValueError(f"not a rule: {(verdict, host, path)}")
+        for verdict, host, path in map(checked, rules):
             node = self.root
-            for label in reversed(split_url(f"://{host}")[0].split(".")):
+            for label in reversed(host.split(".")):
                 node = node.next.setdefault(label, _Host())
             node.path = step = node.path or _Path()
             *inner, last = path.split("/")
@@ -56,6 +69,7 @@ class Trie:
             old = step.ends.get(last)
             if not old or verdict == "allow":  # of two equal rules, allow holds
                 step.ends[last] = (host + path, verdict)
+                step.lengths = sorted({*step.lengths, len(last)}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits: the longer host first, then the longer path."""
@@ -72,10 +86,7 @@ class Trie:
             for segment in segments:
                 if step is None:
                     break
-                for n in range(len(segment), -1, -1):
-                    if segment[:n] in step.ends:
-                        best = step.ends[segment[:n]]
-                        break
+                best = next((step.ends[segment[:n]] for n in step.lengths if n <= len(segment) and segment[:n] in step.ends), best)
                 step = step.next.get(segment)
             if best:
                 return best
@@ -84,10 +95,20 @@ class Trie:
 
 def judge(pages: DataFrame, rules, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict), row for row. rule is null and the verdict `otherwise` where no rule fits.
+
+    rules: (verdict, host, path) tuples, or a table with these columns for lists of any size. Of equal rules, allow holds.
     Null urls and ids, repeats and extra columns are no special cases. An empty host takes only rules without a host.
     """
-    rules = [tuple(r) for r in rules]
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
+    listed = not isinstance(rules, DataFrame)
+    if listed:
+        rules = [tuple(r) for r in rules]
+        size = sum(RULE_BYTES + 4 * (len(host) + len(path)) for _, host, path in rules)
+    else:
+        rules = rules.select("verdict", "host", "path")
+        size = rules.agg(F.sum(F.lit(RULE_BYTES) + 4 * (F.length("host") + F.length("path")))).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return _joined(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string") if listed else rules, id_col, url_col, otherwise)
+    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules if listed else map(tuple, rules.collect())))
     schema = StructType([pages.schema[id_col], *(StructField(n, StringType()) for n in ("host", "path", "rule", "verdict"))])
 
     def run(batches):
@@ -98,3 +119,28 @@ def judge(pages: DataFrame, rules, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([p[0] for p in parts], [p[1] for p in parts], [f[0] for f in found], [f[1] for f in found]))], names=schema.names)
 
     return pages.select(id_col, url_col).mapInArrow(run, schema)
+
+
+def _joined(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, otherwise: str) -> DataFrame:
+    """judge() by joins, for lists that are not broadcast."""
+
+    def parted(batches):
+        for batch in batches:
+            parts = [split_url(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([p[0] for p in parts], [p[1] for p in parts]))], names=[id_col, "host", "path"])
+
+    def sound(batches):
+        for batch in batches:
+            rows = [checked(tuple(r.values())) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], [], []))], names=["verdict", "h", "p"])
+
+    urls = pages.select(id_col, url_col).mapInArrow(parted, StructType([pages.schema[id_col], StructField("host", StringType()), StructField("path", StringType())]))
+    rows = scratch.cut(scratch.cut(urls, "urls").withColumn("_row", F.monotonically_increasing_id()), "urls")
+    known = scratch.cut(rules.select("verdict", "host", "path").mapInArrow(sound, "verdict string, h string, p string").groupBy("h", "p").agg(F.min("verdict").alias("verdict")), "rules")
+    deep = known.agg(F.max(F.size(F.split("h", r"\.")))).first()[0] or 0
+    lengths = known.groupBy("h").agg(F.collect_set(F.length("p")).alias("lengths"))
+    suffix = F.expr(f"transform(sequence(1, least(size(labels), {max(deep, 1)})), k -> array_join(slice(labels, -k, k), '.'))")
+    of = rows.withColumn("labels", F.split("host", r"\.")).select("_row", "path", F.explode(suffix).alias("h"))
+    begun = of.join(lengths, "h").select("_row", "h", "path", F.explode("lengths").alias("n")).where("n <= length(path)").select("_row", "h", F.expr("substring(path, 1, n)").alias("p"))
+    best = begun.join(known, ["h", "p"]).groupBy("_row").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), F.struct(F.length("h"), F.length("p"))).alias("m"))
+    return rows.join(best, "_row", "left").select(id_col, "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.verdict", F.lit(otherwise)).alias("verdict"))

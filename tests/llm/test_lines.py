@@ -1,5 +1,7 @@
+import time
 from collections import defaultdict
 
+import pytest
 from loomgraph.llm import line_dedup
 
 SPACE = " \t\n\v\f\r"
@@ -22,7 +24,11 @@ def slow(rows, least_chars=20, least_docs=3):
 
 
 def rows_of(df):
-    return {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in df.collect()}
+    return {r.doc_id: (r.kept, r.n_lines, r.n_dropped) for r in df.collect()}
+
+
+def dedup(df):
+    return line_dedup.dedup_lines(df, names=("kept", "n_lines", "n_dropped"))
 
 
 LONG = "A line of some twenty characters"
@@ -31,22 +37,40 @@ LONG = "A line of some twenty characters"
 def test_equals_brute_force(wide):
     rows = [(1, f"{LONG}\nx\n {LONG.upper()}\t"), (2, f"y\n{LONG}"), (5, f"{LONG.lower()}\n\n{LONG}\nz"), (3, None), (4, ""), (6, "\n"), (7, "É" * 20 + "\nx"), (8, "É" * 20), (9, "é" * 20 + "\n" + "É" * 20), (10, "short\nshort"), (11, "short"), (12, "short"), (13, LONG + "\r\n" + "\u00a0" + LONG)]
     rows += [(i, "\n".join(f"line number {j} of many documents" for j in range(i % 7, 9))) for i in range(20, 40)]
-    assert rows_of(line_dedup.dedup_lines(wide(*rows))) == slow(rows)
+    assert rows_of(dedup(wide(*rows))) == slow(rows)
 
 
 def test_nulls_repeats_and_no_rows(wide):
-    got = line_dedup.dedup_lines(wide((None, LONG), (1, LONG), (1, LONG), (2, LONG))).collect()
-    assert all(r.n_dropped == 0 and r.kept_text == LONG for r in got) and len(got) == 4  # two documents only
-    assert line_dedup.dedup_lines(wide()).count() == 0
-
-
-def test_other_columns_stay(wide):
-    df = line_dedup.dedup_lines(wide((1, "a")))
-    assert df.columns == ["doc_id", "text", "h1", "n", "key", "w", "fp", "kept_text", "n_lines", "n_dropped"]
-    assert df.first().h1 == "x" and df.first().kept_text == "a"
+    got = dedup(wide((None, LONG), (1, LONG), (1, LONG), (2, LONG))).collect()
+    assert all(r.n_dropped == 0 and r.kept == LONG for r in got) and len(got) == 4  # two documents only
+    assert dedup(wide()).count() == 0
+
+
+def test_other_columns_stay(frame):
+    schema = "n_lines int, doc_id long, gone string, text string, _lines string, row int, kept_text string, `a.b` int, of int, id int, n_dropped int, n_chars int"
+    rows = [(7, i, "g", f"{LONG}\nown line {i}" if i else None, "l", 1, "old", 2, 3, 4, 5, 900) for i in range(4)]
+    df = frame(schema, *rows)
+    out = line_dedup.dedup_lines(df, names=("k", "n", "d"))
+    assert out.columns == [*df.columns, "k", "n", "d"]
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    assert all(got[r[1]][: len(r)] == r for r in rows)
+    assert [got[i][-3:] for i in range(4)] == [("", 1, 0), ("own line 1", 2, 1), ("own line 2", 2, 1), (f"{LONG}\nown line 3", 2, 0)]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df)
+    left = line_dedup.without_common_lines(df, chars_col="n_chars")
+    assert left.columns == df.columns
+    back = {r.doc_id: (r.text, r.n_chars, r.n_lines, r.kept_text) for r in left.collect()}
+    assert back == {0: (None, 900, 7, "old"), 1: ("own line 1", 10, 7, "old"), 2: ("own line 2", 10, 7, "old"), 3: (f"{LONG}\nown line 3", 900, 7, "old")}
+
+
+def test_very_long_texts(wide):
+    began = time.time()
+    text = "\n".join(f"a line that many texts have, {i}" for i in range(100_000))
+    got = rows_of(dedup(wide((1, text), (2, text + "\nx"), (3, text))))
+    assert {i: (r[0], r[2]) for i, r in got.items()} == {1: ("", 100_000), 2: ("x", 100_000), 3: (text, 0)} and time.time() - began < 60
 
 
 def test_the_shuffled_way_agrees(wide, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
     rows = [(i, f"{LONG}\n{i}\n{LONG} {i % 3}") for i in range(30)]
-    assert rows_of(line_dedup.dedup_lines(wide(*rows))) == slow(rows)
+    assert rows_of(dedup(wide(*rows))) == slow(rows)

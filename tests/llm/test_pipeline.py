@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from loomgraph.llm import near_copies
 
@@ -64,13 +65,37 @@ def test_near_copies_at_the_bound_are_found(spark, wide):
     assert {r.doc_id for r in left.collect()} == {2 * k for k in range(40)} and left.columns == wide().columns
 
 
-def test_large_group_is_joined(spark, wide, monkeypatch):
-    monkeypatch.setattr(near_copies, "LOOK_BACK", 8)
+def test_large_group_is_joined(spark, wide):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(changed(rng, base, rng.randint(0, 2)))) for i in range(150)] + [(1000, "Short One"), (1001, "short  one"), (1000, "another text of the same id")]
-    got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(wide(*rows)).collect()}
-    assert got == {(i, 0) for i in range(150)} | {(1000, 1000), (1001, 1000)}
+    for full_key in (8, 512):
+        got = {(r.doc_id, r.component_id) for r in near_copies.near_copies(wide(*rows), full_key=full_key).collect()}
+        assert got == {(i, 0) for i in range(150)} | {(1000, 1000), (1001, 1000)}
+
+
+def test_full_keys_lose_no_pair(spark, wide):
+    """Families of texts about 0.7 alike meet under the same keys without being linked; inside them lie pairs that are."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for k in range(60):
+        one = changed(rng, base, 2)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join([*one[:-1], "end"]))]
+    want = copies(rows)
+    got = [{r.doc_id for r in near_copies.near_copies(wide(*rows), full_key=k).where("doc_id <> component_id").collect()} for k in (3, 512)]
+    assert got[0] == got[1] and len(got[0] & want) >= 0.95 * len(want) and got[0] <= want
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 255, 256, 700):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        got = near_copies.wide_fingerprint(hashes, 3)
+        one = np.array([near_copies.wide_fingerprint(hashes[i : i + 1], 3) for i in range(n)])  # of a single hash: the mixed hash itself
+        bits = np.unpackbits(one.view(np.uint8), axis=1, bitorder="little").sum(axis=0)
+        assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (bits * 2 > n)).all()
+    parts = near_copies.segments(rng.integers(0, 1 << 63, (4, 3), dtype=np.uint64), 20, 7)
+    assert parts.shape == (4, 7) and (parts >> 32 == np.arange(7)).all() and (parts & 0xFFFFFFFF < 1 << 20).all()
 
 
 def test_only_verified_copies_are_dropped(spark, wide):
