@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -122,8 +124,62 @@ def test_template_finds_the_main_slot_without_names(frame):
         assert got == {i: f"Story {i} begins with many words that differ {i * 7} from page to page And goes on {i}" for i in range(8)}
 
 
+def test_the_template_decides_inside_an_article_too(frame):
+    """A fixed text and a link list in elements without a telling name, inside the article: only the other pages tell them."""
+    page = lambda i: f"<article><h1>Title {i}</h1><div class=x>Read this on our site as well.</div><p>Many words that no other page has, {i} {i * 31} times and more of them.</p><div class=y><a href=1>One {i}</a> <a href=2>Two {i}</a></div><div class='has-sidebar comments-open'>The end {i}.</div></article><p>Below"
+    rows = [(i, f"http://site/{i}", page(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(frame("page_id long, url string, html string", *rows)).collect()}
+    assert got == {i: f"Title {i} Many words that no other page has, {i} {i * 31} times and more of them. The end {i}." for i in range(9)}
+    assert "Read this" in html_extract.main_text(page(3), None)
+    copies = [(i, "http://copies/", page(1)) for i in range(9)]
+    assert {r.text.split()[-1] for r in html_extract.extract(frame("page_id long, url string, html string", *copies)).collect()} == {"1."}
+
+
+def test_names_decide_only_whole_and_smaller_parts():
+    text = lambda s: html_extract.main_text(s, None)
+    words = "many words of the article " * 6
+    assert text(f"<div class='content has-sidebar'><article>{words}</article></div>") == words.strip()
+    assert text(f"<article class='post comments-open'><header><h1>Head</h1></header>{words}<div class=comments>I think so</div></article>") == "Head " + words.strip()
+    assert text(f"<form><div class=widget><p>{words}</p></div><div class=share-buttons>Tell</div><div class=share>x</div></form>") == words.strip() + " Tell"
+    assert text(f"<body><header>Site</header><p>{words}</p><p>And {words}</p><footer>f</footer>") == words + "And " + words.strip()
+
+
+def test_equivalence_classes_are_those_of_the_vectors(frame):
+    rng = np.random.default_rng(6)
+    pages = []
+    for i in range(40):
+        body = "".join(f"<{t}><p>t{rng.integers(0, 9)}</p></{t}>" * int(rng.integers(0, 3)) for t in ("div", "section", "ul", "table"))
+        pages.append((i, f"http://h{i % 3}/", f"<main>{body}<div class=f>fixed <i>text</i></div></main>"))
+    held = {}
+    html_extract.scratch.cut, old = (lambda df, label: held.setdefault(label, old(df, label))), html_extract.scratch.cut
+    try:
+        html_extract.templates(frame("page_id long, url string, html string", *pages)).collect()
+    finally:
+        html_extract.scratch.cut = old
+    vectors = {}
+    for pid, url, source in pages:
+        for key, _, _, _, n, _, _ in html_extract.tokens_of(html_extract.parse(source)):
+            vectors.setdefault((url[7:9], key), {})[pid] = n
+    want, got = {}, {}
+    for (host, key), v in vectors.items():
+        want.setdefault((host, tuple(sorted(v.items()))), set()).add(key)
+    for r in held["tokens"].collect():
+        got.setdefault((r.host, r.pages, r.vector), set()).add(r.token)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+    whole = [html_extract.Token(r.token, r.above, r.name, r.outside, r.pages, str(r.vector), r.most, r.chars, r.linked) for r in held["tokens"].collect() if r.host == "h0"]
+    valid = html_extract.valid_classes(whole, 14)
+    assert all(len(c) > 1 or k[0] == 14 for k, c in valid.items()) and any(t.token == html_extract.text_key("fixed text") for t in valid[14, next(t.vector for t in whole if t.token == 0)])
+
+
+@pytest.mark.parametrize("source", ["<a " * 200_000 + '"', "<a b='" * 100_000, '<p x="' * 100_001, "<div>" * 100_000 + "</p>" * 100_000, "<div>" * 50_000 + "</div>" * 50_000, "<b>" * 100_000 + "<p>" * 100_000, "<" * 300_000, "<!-- " * 60_000, "<script>" * 50_000, "&amp" * 100_000, "<li><a>x" * 50_000], ids=lambda s: s[:6])
+def test_broken_pages_take_linear_time(source):
+    began = time.time()
+    html_extract.main_text(source, None)
+    assert time.time() - began < 8
+
+
 def test_broken_markup():
-    text = lambda s: html_extract.main_text(s, None, frozenset())
+    text = lambda s: html_extract.main_text(s, None)
     assert text("a < b <p>c</q></p>d<!-- x -->e <") == "a < b c de <"
     assert text("<article>x<p>y <b>z") == "x y z"
     assert text("<article>x</article><footer>f") == "x"
