@@ -28,18 +28,11 @@ LINES = 16
 BLOCK = 1024
 
 
-def unit(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows can link: none that is null, zero or holds null or non-finite
-    components, or is of another length than most."""
-    out, sound = np.zeros((len(vectors), dim)), np.zeros(len(vectors), dtype=bool)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            x = np.array(v, dtype=np.float64)
-            top = np.abs(x).max(initial=0.0)
-            if np.isfinite(x).all() and top > 0:
-                x = x / top  # keeps tiny and huge vectors in range
-                out[i], sound[i] = x / np.sqrt(x @ x), True
-    return out, sound
+def unit(vectors: list) -> np.ndarray:
+    """Unit vectors in double precision, of vectors of one length that are finite and not zero."""
+    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge vectors in range
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def calibrate(threshold: float, recall: float = 0.995, lines: int = LINES, deviations: float = 2.0) -> tuple[float, int]:
@@ -105,42 +98,44 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """(id_col, n_links, component_id, kept) for every row whose id is not null.
 
     Vectors link at cosine >= threshold (double precision, verified); pairs at the threshold are found with probability
-    recall in the tables and again by the count, closer pairs more surely, equal vectors always. Null or zero vectors, those
-    with null or non-finite components and those not of the most frequent length link with nothing. Ids are whole
+    recall in the tables and again by the count, closer pairs more surely, equal vectors always. Null or zero vectors and those
+    with null or non-finite components link with nothing; vectors of another length are compared among their own. Ids are whole
     numbers. Rows that repeat an id and its vector are each other's links; different vectors under one id fall into one
     component. Other columns are ignored.
     """
     table = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    size = table.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = size["d"] if size else 0
-    sound = (F.size("v") == dim) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    marked = table.withColumn("ok", F.coalesce(sound, F.lit(False)) & F.lit(dim > 0))
+    sound = (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
+    marked = table.withColumn("ok", F.coalesce(sound, F.lit(False)))
     # -0.0 equals 0.0; copies share one row from here on.
     each = scratch.cut(marked.where("ok").select("id", F.transform("v", lambda c: c + F.lit(0.0)).alias("v")).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("at", F.xxhash64("v")), "vectors")
     total = each.count()
     signs, tables = plan_tables(total, threshold, recall)
     width, least = calibrate(threshold, recall)
-    rng = np.random.default_rng(seed)
-    lines = rng.standard_normal((dim, LINES)) if dim else np.zeros((0, LINES))
-    cuts = rng.standard_normal((dim, max(1, signs * tables)))
+
+    def drawn(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lines to project on and the directions whose signs name cells, for vectors of this length."""
+        rng = np.random.default_rng([seed, dim])
+        return rng.standard_normal((dim, LINES)), rng.standard_normal((dim, max(1, signs * tables)))
 
     def cells(batches):
-        for df in batches:
-            x, _ = unit(df["v"].tolist(), dim)
-            bits = (x @ cuts > 0)[:, : signs * tables].reshape(len(df), tables, signs) if signs else np.zeros((len(df), tables, 0), dtype=bool)
-            code = (bits * (1 << np.arange(signs, dtype=np.int64))).sum(axis=2).astype(np.int64)
-            for t in range(tables):
-                yield pd.DataFrame({"t": np.int32(t), "cell": code[:, t], "rep": df["rep"], "n": df["n"], "v": df["v"], "codes": list(code[:, :t])})
-
-    placed = each.mapInPandas(cells, "t int, cell long, rep long, n long, v array<double>, codes array<long>")
-    full = scratch.cut(placed.groupBy("t", "cell").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "cells")
-    dealt = placed.join(F.broadcast(full) if full.count() <= 500_000 else full, ["t", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        for whole in batches:
+            for dim, df in whole.groupby(whole["v"].map(len)):
+                x, cuts = unit(df["v"].tolist()), drawn(dim)[1]
+                bits = (x @ cuts > 0)[:, : signs * tables].reshape(len(df), tables, signs) if signs else np.zeros((len(df), tables, 0), dtype=bool)
+                code = (bits * (1 << np.arange(signs, dtype=np.int64))).sum(axis=2).astype(np.int64)
+                for t in range(tables):
+                    yield pd.DataFrame({"t": np.int32(t), "dim": np.int32(dim), "cell": code[:, t], "rep": df["rep"], "n": df["n"], "v": df["v"], "codes": list(code[:, :t])})
+
+    placed = each.mapInPandas(cells, "t int, dim int, cell long, rep long, n long, v array<double>, codes array<long>")
+    full = scratch.cut(placed.groupBy("t", "dim", "cell").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "cells")
+    dealt = placed.join(F.broadcast(full) if full.count() <= 500_000 else full, ["t", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.withColumn("other", other).select("t", "cell", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "n", "v", "codes")
+    spread = dealt.withColumn("other", other).select("t", "dim", "cell", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "n", "v", "codes")
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("rep", ignore_index=True)
-        x, _ = unit(df["v"].tolist(), dim)
+        x = unit(df["v"].tolist())
+        lines, _ = drawn(x.shape[1])
         p, t, rep, n = x @ lines, int(df["t"][0]), df["rep"].to_numpy(), df["n"].to_numpy()
         codes = np.array(df["codes"].tolist(), dtype=np.int64).reshape(len(df), t)
         b1, b2 = df["b1"][0], df["b2"][0]
@@ -161,7 +156,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         src, dst = (np.concatenate(c) for c in zip(*ends)) if ends else (np.zeros(0, int), np.zeros(0, int))
         return pd.DataFrame({"rep": np.concatenate([rep[some], rep[src]]), "links": np.concatenate([links[some], np.zeros(len(src), np.int64)]), "root": np.concatenate([np.full(len(some), -1, np.int64), rep[dst]]), "edge": np.concatenate([np.zeros(len(some), bool), np.ones(len(src), bool)])})
 
-    found = scratch.cut(spread.groupBy("t", "cell", "b1", "b2").applyInPandas(compare, "rep long, links long, root long, edge boolean"), "links")
+    found = scratch.cut(spread.groupBy("t", "dim", "cell", "b1", "b2").applyInPandas(compare, "rep long, links long, root long, edge boolean"), "links")
     counts = found.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("edge").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     reps = each.join(counts, "rep", "left").join(groups, each.rep == groups.node, "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -24,15 +24,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     warc.write_warc(warc.pages_to_records(table(spark, sf_dir, "pages")), path)
     back = warc.reconstruct(*warc.store(warc.read_warc(spark, path)))
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")
     sha1 = F.sha1("block")
     sound = F.when((F.col("record_type") == "revisit") | (F.concat(F.lit("sha1:"), sha1) == F.col("stated_digest")), sha1).otherwise(F.raise_error(F.lit("a payload is not what its record states")).cast("string"))
     # Names and digests are small; the payloads stay behind.
-    facts = scratch.cut(back.select(number("record_id").alias("page_id"), F.octet_length("block").cast("long").alias("bytes"), sound.alias("sha1"), "record_type", number("refers_to").alias("refers_to")), "facts")
-    first = facts.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    target = first.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    again = facts.where("record_type = 'revisit'").join(target, "refers_to").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return first.unionByName(again)
+    facts = scratch.cut(back.select("record_id", "record_type", "refers_to", F.octet_length("block").cast("long").alias("payload_bytes"), sound.alias("payload_digest")), "facts")
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1).try_cast("long")
+    first = facts.where("record_type = 'response'")
+    target = first.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    again = facts.where("record_type = 'revisit'").select("record_id", "record_type", "refers_to").join(target, "refers_to")
+    return first.unionByName(again).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

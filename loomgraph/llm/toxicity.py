@@ -23,8 +23,6 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: At most this many labelled rows are learned from, the ones whose ids hash lowest.
 SAMPLE_ROWS = 12_000
-#: At most this many features, those with the largest likelihood ratio.
-FEATURES = 20_000
 _REMEMBERED = 1 << 18
 
 
@@ -107,24 +105,26 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_texts: int = 3, least_share: float = 0.004, least_ratio: float = 10.0, least_g: float = 12.0) -> Model:
-    """Learns from at most sample_rows labelled rows, equal texts once. Unlabelled rows, null labels and labels without a document do not
-    count; without any toxic row the model finds every text clean. A feature is in least_texts toxic texts and in least_share of
-    them at least."""
+    """Learns from at most sample_rows labelled rows, equal texts once: as toxic if any of them is labelled so, which also holds for
+    labels that repeat an id. Unlabelled rows, null labels and labels without a document do not count; without any toxic row the
+    model finds every text clean. A feature is in least_texts toxic texts and in least_share of them at least; all such features
+    enter. The same rows give the same model, bit for bit, however they are dealt."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull())
     chosen = known.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates(["text"])
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    sample = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("r")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
 
     def counted(batches):
         for batch in batches:
-            for _, y, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for r, y, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = count_words(text)
                 feats: dict[str, int] = {}
                 for w, n in words.items():
                     for f in features_of(w):
                         feats[f] = feats.get(f, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([list(feats)], pa.list_(pa.string())), pa.array([list(feats.values())], pa.list_(pa.int32()))], names=["y", "f", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.string()), pa.array([y], pa.int32()), pa.array([list(feats)], pa.list_(pa.string())), pa.array([list(feats.values())], pa.list_(pa.int32()))], names=["r", "y", "f", "n"])
 
-    rows = scratch.cut(sample.select(id_col, F.col("y").cast("int"), "text").mapInArrow(counted, "y int, f array<string>, n array<int>"), "labelled")
+    rows = scratch.cut(sample.select("r", F.col("y").cast("int"), "text").mapInArrow(counted, "r string, y int, f array<string>, n array<int>"), "labelled")
     n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
     share = rows.select((F.col("y") > 0).cast("int").alias("y"), F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("t")).where(F.col("a") >= max(least_texts, least_share * pos))
@@ -132,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = share.withColumn("ratio", (F.col("a") / pos) / ((b + 0.5) / neg))
     expect_a, expect_b = F.col("t") * pos / (pos + neg), F.col("t") * neg / (pos + neg)
     share = share.withColumn("g", 2 * (F.col("a") * F.log(F.col("a") / expect_a) + F.when(b > 0, b * F.log(b / expect_b)).otherwise(0)))
-    best = share.where((F.col("ratio") >= least_ratio) & (F.col("g") >= least_g)).orderBy(F.desc("g"), "f").limit(FEATURES)
+    best = share.where((F.col("ratio") >= least_ratio) & (F.col("g") >= least_g)).orderBy("f")
     index = {r["f"]: i for i, r in enumerate(best.collect())}
     if not index:
         return Model({}, np.zeros(0), np.array([40.0, 41.0]))
     # Only the chosen features of the bounded sample come to the driver.
-    picked = rows.select("y", F.expr("arrays_zip(f, n)").alias("z"), F.monotonically_increasing_id().alias("r")).select("y", "r", F.explode_outer("z").alias("z")).select("y", "r", F.col("z.f").alias("f"), F.col("z.n").alias("n"))
-    wanted = picked.join(F.broadcast(best.select("f")), "f").groupBy("r").agg(F.max("y").alias("y"), F.collect_list(F.struct("f", "n")).alias("fs")).collect()
+    picked = rows.select("y", "r", F.expr("arrays_zip(f, n)").alias("z")).select("y", "r", F.explode_outer("z").alias("z")).select("y", "r", F.col("z.f").alias("f"), F.col("z.n").alias("n"))
+    wanted = picked.join(F.broadcast(best.select("f")), "f").groupBy("r").agg(F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct("f", "n"))).alias("fs")).orderBy("r").collect()
     grade, at, values = [], [], []
     for r in wanted:
         at.append(np.array([index[x["f"]] for x in r["fs"]], dtype=np.int64))

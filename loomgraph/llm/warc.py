@@ -1,15 +1,17 @@
 """WARC archives, content-addressed.
 
 write_warc() turns pages into WARC/1.1 records and lets Spark's own text writer put them down: a record ends in two
-line breaks, which is the writer's line separator. read_warc() reads archives back by their Content-Length fields.
-store() keeps each distinct payload once, under its SHA-256 and length, and the exact header bytes of every record
-beside it; reconstruct() joins the two and verifies each payload's digest again.
+line breaks, which is the writer's line separator. read_warc() reads archives back by their Content-Length fields, record by
+record: a worker holds no more of an archive than the record that it is at, however large the file.
+store() keeps each distinct payload once, under its SHA-256 and length, in a table bucketed by these, and the exact header bytes of
+every record in another; reconstruct() joins the two, where the payloads stay in their buckets, and verifies each payload's
+digest again.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -36,16 +38,24 @@ def pages_to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     """(record): the text of a WARC record for each page.
 
     A null html is an empty payload; a null url gives no WARC-Target-URI. Of pages whose payloads of least_revisit
-    bytes or more are equal, that with the largest id holds the payload; the others are revisit records that refer to
-    it. Ids identify records, so a repeated id repeats its record id; rows with a null id are left out. Line breaks in
-    urls are percent-encoded. Other columns are ignored.
+    bytes or more are equal, that with the largest id holds the payload (any one of them where it repeats, nulls last); the others
+    are revisit records that refer to it. A record is named <urn:page:ID>; rows that share an id, and those without, are named
+    <urn:page:ID#N>, N being a number of the row's own. Line breaks in urls are percent-encoded. Other columns are ignored.
     """
-    body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("_order"), F.col(url_col).alias("url"), body.alias("body"), F.octet_length(body).alias("size"), F.sha1(body.cast("binary")).alias("sha1"), F.sha2(body.cast("binary"), 256).alias("sha256"))
-    repeated = rows.where(F.col("size") >= least_revisit).groupBy("sha256", "size").agg(F.max("_order").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select("sha256", "size", "_last")
+    some = pages.select(F.col(id_col).alias("_order"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("body"))
+    shared = scratch.cut(some.groupBy("_order").agg(F.count("*").alias("_n")).where("_n > 1 or _order is null").select("_order"), "shared")
+    own = some.withColumn("_row", F.lit(-1).cast("long"))
+    if not shared.isEmpty():
+        small = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+        same = some["_order"].eqNullSafe(small["_order"])
+        several = scratch.cut(some.join(small, same, "left_semi"), "several").withColumn("_row", F.monotonically_increasing_id())
+        own = some.join(small, same, "left_anti").withColumn("_row", F.lit(-1).cast("long")).unionByName(several)
+    name = F.concat(F.coalesce(F.col("_order").cast("string"), F.lit("")), F.when(F.col("_row") >= 0, F.concat(F.lit("#"), F.col("_row").cast("string"))).otherwise(F.lit("")))
+    rows = own.select("*", name.alias("id"), F.octet_length("body").alias("size"), F.sha1(F.col("body").cast("binary")).alias("sha1"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
+    repeated = rows.where(F.col("size") >= least_revisit).groupBy("sha256", "size").agg(F.max(F.struct("_order", "_row", "id")).alias("_last"), F.count("*").alias("_of")).where("_of > 1").select("sha256", "size", F.col("_last.id").alias("_last"))
     last = scratch.cut(repeated, "repeated")
     joined = rows.join(F.broadcast(last) if last.count() <= BROADCAST_ROWS else last, ["sha256", "size"], "left")
-    revisit = F.col("_last").isNotNull() & (F.col("_last") != F.col("_order"))
+    revisit = F.col("_last").isNotNull() & (F.col("_last") != F.col("id"))
     block = F.when(revisit, F.lit("")).otherwise(F.col("body"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
@@ -54,7 +64,7 @@ def pages_to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id"), F.lit(">"))),
         _line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         F.when(F.col("url").isNotNull(), _line("WARC-Target-URI", url)).otherwise(F.lit("")),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("_last").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("_last"), F.lit(">"))))).otherwise(F.lit("")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "),
@@ -102,24 +112,79 @@ def parse_records(data: bytes):
         at = last + 4
 
 
-def read_warc(spark: SparkSession, path: str, batch: int = 500) -> DataFrame:
-    """The records of all archives in a folder: exact header and block bytes, and the fields that joins need."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches):
-        for whole in batches:
-            for content in whole.column(0):
-                rows = []
-                for header, block in parse_records(content.as_py()):
-                    name = lambda x, h=header: (_field(h, x) or "").strip("<>") or None
-                    rows.append((header, name(b"WARC-Record-ID"), name(b"WARC-Type"), _field(header, b"WARC-Target-URI"), name(b"WARC-Refers-To"), _field(header, b"WARC-Payload-Digest"), block))
-                    if len(rows) >= batch:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    return files.mapInArrow(run, RECORD)
+class _Cutter:
+    """Cuts a stream of bytes into records; holds what is not cut yet."""
+
+    def __init__(self):
+        self.rest, self.need = bytearray(), 0
+
+    def feed(self, piece: bytes):
+        """(header, block) of the records that piece completes."""
+        self.rest += piece
+        while len(self.rest) >= max(self.need, 1):
+            end = self.rest.find(b"\r\n\r\n")
+            if end < 0 or self.rest[:1] in b"\r\n" and not self.rest.strip(b"\r\n"):
+                return
+            size = _LENGTH.search(self.rest, 0, end + 2)
+            if not self.rest.startswith(b"WARC/") or size is None:
+                raise ValueError("no record header where a record should begin")
+            end += 4
+            last = end + int(size[1])
+            self.need = last + 4
+            if len(self.rest) < self.need:
+                return
+            if self.rest[last : self.need] != b"\r\n\r\n":
+                raise ValueError("a record does not end where its length says")
+            header, block = bytes(self.rest[:end]), bytes(self.rest[end:last])
+            del self.rest[: self.need]
+            self.need = 0
+            yield header, block
+
+    def close(self) -> None:
+        """The file ends. Its last line break has been put there by the reader if the file ends in half of one."""
+        if bytes(self.rest).strip(b"\r\n"):
+            raise ValueError("the last record is cut off")
+        self.rest, self.need = bytearray(), 0
+
+
+def _fields(header: bytes, block: bytes) -> tuple:
+    name = lambda x: (_field(header, x) or "").strip("<>") or None
+    return header, name(b"WARC-Record-ID"), name(b"WARC-Type"), _field(header, b"WARC-Target-URI"), name(b"WARC-Refers-To"), _field(header, b"WARC-Payload-Digest"), block
+
+
+def read_warc(spark: SparkSession, path: str, batch: int = 500, batch_bytes: int = 8 << 20) -> DataFrame:
+    """The records of all archives in a folder: exact header and block bytes, and the fields that joins need.
+
+    Files named *.gz, which Spark does not split, are read as a stream of lines that end in two line breaks and put together again;
+    any others are read whole.
+    """
+    packed = spark.read.option("lineSep", _END).option("pathGlobFilter", "*.gz").text(path)
+    packed = packed.select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("value").cast("binary").alias("piece"))
+    plain = spark.read.format("binaryFile").load(path).where(~F.col("path").endswith(".gz")).select("content")
+
+    def batches_of(records):
+        rows, size = [], 0
+        for header, block in records:
+            rows.append(_fields(header, block))
+            size += len(header) + len(block)
+            if len(rows) >= batch or size >= batch_bytes:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def stream(batches):
+        cutter, now = _Cutter(), None
+        for b in batches:
+            for file, piece in zip(b.column(0).to_pylist(), b.column(1)):
+                if file != now:
+                    cutter.close()
+                    now = file
+                yield from cutter.feed(piece.as_buffer().to_pybytes() + b"\r\n\r\n")
+        cutter.close()
+
+    lines = packed.mapInArrow(lambda batches: batches_of(stream(batches)), RECORD)
+    return lines.unionByName(plain.mapInArrow(lambda batches: batches_of(r for b in batches for content in b.column(0) for r in parse_records(content.as_py())), RECORD))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -128,11 +193,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(payloads, headers). payloads(digest, size, payload): one row for each distinct block that is not empty, by SHA-256 and length.
-    headers: every record's exact header bytes and fields, with the digest and size of its block."""
+    """(payloads, headers), both written to the shared folder. payloads(digest, size, payload): one row for each distinct block that is
+    not empty, by SHA-256 and length, in buckets of these. headers: every record's exact header bytes and fields, with the digest and
+    size of its block. The archives are read once for each, so that no payload is written twice."""
+    spark = records.sparkSession
     keyed = records.withColumn("digest", F.sha2("block", 256)).withColumn("size", F.octet_length("block").cast("long"))
-    payloads = keyed.where("size > 0").groupBy("digest", "size").agg(F.first("block").alias("payload"))
-    return payloads, keyed.drop("block")
+    once = keyed.where("size > 0").groupBy("digest", "size").agg(F.first("block").alias("payload"))
+    name, buckets = f"loomgraph_payloads_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once.write.format("parquet").bucketBy(buckets, "digest", "size").option("path", scratch.new_path(spark, "payloads")).saveAsTable(name)
+    return spark.table(name), scratch.cut(keyed.drop("block"), "headers")
 
 
 def reconstruct(payloads: DataFrame, headers: DataFrame) -> DataFrame:

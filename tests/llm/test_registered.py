@@ -46,6 +46,20 @@ def test_toxicity_on_labelled_documents(spark):
     assert all(0 <= r.severity <= 2 and math.isfinite(r.severity) for r in rows)
 
 
+def test_toxicity_learned_from_a_third_finds_the_rest(spark):
+    from loomgraph.llm import toxicity
+    from pyspark.sql import functions as F
+
+    place = "/root/testdata/sf0.1"
+    docs, labels = (queries.table(spark, place, t) for t in ("documents", "labels"))
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0
+    model = toxicity.train(docs, labels.where(~unseen))
+    toxic = {r.doc_id: r.toxic for r in labels.where(unseen & F.col("toxic").isNotNull()).collect()}
+    rows = [r for r in toxicity.score(docs, model).collect() if r.doc_id in toxic]
+    hit, clean = [r.toxic for r in rows if toxic[r.doc_id]], [r.toxic for r in rows if not toxic[r.doc_id]]
+    assert sum(hit) >= 0.85 * len(hit) and sum(clean) <= 0.01 * len(clean)
+
+
 def test_pipeline_stages_take_effect(spark, place):
     docs = queries.table(spark, place, "documents")
     columns = docs.columns

@@ -1,7 +1,8 @@
 import gzip
+import hashlib
 
 import pytest
-from loomgraph.llm import warc
+from loomgraph.llm import queries, warc
 
 BIG = "x" * 1000
 
@@ -18,7 +19,7 @@ def test_round_trip(spark, frame, tmp_path):
     path = write(frame, tmp_path, *rows, rows_per_file=2)
     back = warc.reconstruct(*warc.store(warc.read_warc(spark, path))).collect()
     got = {r.record_id: r for r in back}
-    assert len(back) == 9
+    assert len(back) == 10 and [bytes(r.block) for r in back if r.record_id.startswith("urn:page:#")] == [b"gone"]
     want = {i: (h or "").encode() for i, _, h in rows if i is not None}
     for i, body in want.items():
         r = got[f"urn:page:{i}"]
@@ -39,6 +40,35 @@ def test_payloads_are_stored_once_and_verified(spark, frame, tmp_path):
         warc.reconstruct(payloads.withColumn("payload", F.lit(b"lame")), headers).collect()
 
 
+def test_rows_that_share_an_id_are_records_of_their_own(spark, frame, tmp_path):
+    b, c = "b" * 1000, "c" * 1500
+    rows = [(9, "u", b), (9, "u", b), (5, "u", b), (7, "u", c), (7, "v", "small"), (None, "u", c), (None, None, None), (3, "u", c)]
+    frame("page_id long, url string, html string, size int", *[(*r, 1) for r in rows]).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, queries.op1_warc(spark, str(tmp_path)).collect()), key=repr)
+    sha1 = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    want = [(9, 1000, sha1(b), "response", None), (9, 1000, sha1(b), "revisit", 9), (5, 1000, sha1(b), "revisit", 9), (7, 1500, sha1(c), "response", None), (7, 5, sha1("small"), "response", None), (None, 1500, sha1(c), "revisit", 7), (None, 0, sha1(""), "response", None), (3, 1500, sha1(c), "revisit", 7)]
+    assert got == sorted(want, key=repr)
+
+
+def test_one_huge_payload_and_odd_line_breaks(spark, frame, tmp_path):
+    odd = ["\r\n", "a\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "a\r\n\r\n\r", "\n\r\n", "x\r", "WARC/1.1\r\n\r\n\r\n\r\n"]
+    huge = "".join(f"<p>{i}\r\n\r\n" for i in range(400_000))
+    rows = [(i, "u", t) for i, t in enumerate([huge, *odd])]
+    for n in (1, 3, 100):
+        back = warc.read_warc(spark, write(frame, tmp_path / str(n), *rows, rows_per_file=n)).collect()
+        assert {int(r.record_id.split(":")[-1]): bytes(r.block).decode() for r in back} == {i: t for i, _, t in rows}
+
+
+def test_plain_and_packed_archives_in_one_folder(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\ncontent-length: 3\r\n\r\n\xff\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record * 2)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record * 2))
+    assert [bytes(r.block) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [b"\xff\r\n"] * 5
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record + record[:-9]))
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_foreign_archives():
     record = b"WARC/1.0\r\nWARC-Type: response\r\ncontent-length: 3\r\n\r\na\r\n\r\n\r\n"
     assert [b for _, b in warc.parse_records(record * 2)] == [b"a\r\n"] * 2
