@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from loomgraph.plans import graph_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
+from loomgraph.plans import graph_queries, record_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
 from loomgraph.plans.registry import QUERIES
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
@@ -21,36 +21,62 @@ K1, B = 1.5, 0.75
 class Index:
     postings: DataFrame  # term, doc, tf, dl
     terms: DataFrame  # term, df
-    corpus: DataFrame  # one row: n_docs, avgdl
+    n_docs: int
+    avgdl: float
+    mean_idf: float  # of the raw idf over all terms
 
 
 def build(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> Index:
+    """Tokenizes the texts once; postings and terms are written to the shared folder, and three numbers come to the driver."""
     rows = tables.spread(docs.select(F.col(doc).alias("doc"), F.col(body).alias("body")))
     words = rows.select("doc", F.explode(F.array(text.tokens("body"))).alias("w")).where(F.size("w") > 0)
-    postings = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    corpus = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
+    counted = words.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    return of_postings(tables.cut(counted.select("term", "doc", "tf", "dl"), "postings"))
+
+
+def of_postings(postings: DataFrame) -> Index:
+    """The index over written postings."""
+    # The shares tf / dl of a document sum to one, so their total is the number of documents.
+    terms = tables.cut(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum(F.col("tf") / F.col("dl")).alias("share")), "terms")
+    total = terms.agg(F.round(F.sum("share")).cast("long").alias("n"), F.sum("tf").alias("tf")).first()
+    n_docs = total["n"] or 0
+    mean = terms.agg(F.avg(raw_idf(n_docs)).alias("mean")).first()["mean"]
+    return Index(postings, terms.select("term", "df"), n_docs, (total["tf"] or 0) / max(n_docs, 1), mean or 0.0)
+
+
+def save(index: Index, path: str) -> None:
+    index.postings.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return of_postings(spark.read.parquet(path))
+
+
+def raw_idf(n_docs: int) -> Column:
+    return F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def term_idf(index: Index) -> DataFrame:
-    """(term, df, idf). The mean is taken over all terms, so it is a grouped average next to a one-row corpus."""
-    raw = index.terms.crossJoin(F.broadcast(index.corpus)).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """(term, df, idf)."""
+    return index.terms.withColumn("raw", raw_idf(index.n_docs)).select("term", "df", F.when(F.col("raw") < 0, F.lit(0.25 * index.mean_idf)).otherwise(F.col("raw")).alias("idf"))
+
+
+def token_terms(queries: DataFrame, query: str = "query_id", tokens: str = "tokens") -> DataFrame:
+    """query_terms() of queries that are arrays of tokens already."""
+    return queries.select(F.col(query).alias("query"), F.explode(tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", body: str = "text") -> DataFrame:
     """(query, term, times): a repeated term counts as often as it stands."""
-    return queries.select(F.col(query).alias("query"), F.explode(text.tokens(body)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    return token_terms(queries.select(query, text.tokens(body).alias("tokens")), query)
 
 
 def scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query, doc, score) of every document with a positive score. The queries' terms, if they are few, go to the postings;
-    else both sides are dealt out by term."""
-    asked = tables.small(terms)
-    idf = term_idf(index).join(tables.small(terms.select("term").distinct()), "term", "left_semi")
-    hit = index.postings.join(asked, "term").join(idf, "term").crossJoin(F.broadcast(index.corpus))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    """(query, doc, score) of every document with a positive score. The queries' terms with their idf, if they are few, go to the
+    postings; else both sides are dealt out by term."""
+    asked = terms.join(term_idf(index), "term").select("query", "term", "times", "idf")
+    hit = index.postings.join(tables.small(tables.cut(asked, "asked")), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
     return hit.groupBy("query", "doc").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 

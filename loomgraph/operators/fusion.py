@@ -59,3 +59,11 @@ def configuration_diff(old: DataFrame, new: DataFrame, query: str = "query") ->
     olds, news = old.select(query, F.col("doc").alias("new_doc"), F.lit(True).alias("in_old")), new.select(query, F.col("doc").alias("old_doc"), F.lit(True).alias("in_new"))
     joined = side.join(olds, [query, "new_doc"], "left").join(news, [query, "old_doc"], "left")
     return joined.select(query, "rank", "old_doc", "new_doc", F.coalesce(F.col("old_doc") == F.col("new_doc"), F.lit(False)).alias("same"), (F.col("new_doc").isNotNull() & F.col("in_old").isNull()).alias("is_new"), (F.col("old_doc").isNotNull() & F.col("in_new").isNull()).alias("is_lost"))
+
+
+def score_shifts(old: DataFrame, new: DataFrame, most: int = 10, query: str = "query") -> DataFrame:
+    """(query, doc, old_score, new_score, shift): of rows that both lists have, the largest rises of the score."""
+    both = old.select(query, "doc", F.col("score").alias("old_score")).join(new.select(query, "doc", F.col("score").alias("new_score")), [query, "doc"])
+    risen = both.withColumn("shift", F.col("new_score") - F.col("old_score")).where(F.round("shift", 9) > 0)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.round("shift", 9).desc(), "doc"))
+    return risen.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")

@@ -83,12 +83,29 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int | Non
     return reached
 
 
+def bfs_each(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int | None = None) -> DataFrame:
+    """(query, name, hop): bfs() for the seeds(query, name) of many queries at once, with the cap for each query."""
+    near = edges.select(F.col("head").alias("at"), F.col("tail").alias("to")).union(edges.select("tail", "head"))
+    reached = tables.cut(seeds.select("query", "name").distinct().withColumn("hop", F.lit(0)), "reached")
+    for hop in range(1, depth + 1):
+        new = near.join(reached.where(F.col("hop") == hop - 1), F.col("at") == F.col("name")).select("query", F.col("to").alias("name")).distinct().join(reached, ["query", "name"], "left_anti")
+        if max_nodes is not None:
+            have = reached.groupBy("query").agg(F.count("*").alias("have"))
+            place = F.row_number().over(Window.partitionBy("query").orderBy("name"))
+            new = new.withColumn("n", place).where(F.col("n") <= max_nodes).join(have, "query").where(F.col("n") + F.col("have") <= max_nodes).select("query", "name")
+        new = tables.cut(new.withColumn("hop", F.lit(hop)), "level")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+    return reached
+
+
 def query_kg(graph: Graph, tasks: DataFrame, entity: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
     """Tasks of all entities around the best match for a name: exact first, else the first fuzzy hit."""
     exact = graph.nodes.where(F.col("name") == entity).select("name", F.lit(-1).alias("rank"))
     seed = exact.unionByName(search_ranked(graph.nodes, entity, 1).select("name", "rank")).orderBy("rank").limit(1).select("name")
     around = bfs(graph.edges, seed, depth, max_nodes)
-    found = graph.tasks.join(F.broadcast(around), "name", "left_semi").select("task").distinct()
+    found = graph.tasks.join(tables.small(around), "name", "left_semi").select("task").distinct()
     return tasks.join(found, "task", "left_semi")
 
 
@@ -131,12 +148,11 @@ def trace(edges: DataFrame, categories: DataFrame, root: str, hops: int = 3, cap
     Every edge of a reached name whose relation has a category is a step, at one hop more than the name; of equal
     (entity, related, relation, direction) the heaviest stays, of equally heavy ones the nearest.
     """
-    reached = bfs(edges, edges.sparkSession.createDataFrame([(root,)], "name string"), hops - 1, None)
-    if cap:
-        reached = reached.orderBy("hop", "name").limit(cap)
-    known = edges.join(F.broadcast(categories), "relation")
+    # The cap keeps the first names by (hop, spelling), as bfs() fills it.
+    reached = bfs(edges, edges.sparkSession.createDataFrame([(root,)], "name string"), hops - 1, cap or None)
+    known = edges.join(tables.small(categories), "relation")
     side = lambda at, to, how: known.select(F.col(at).alias("entity"), F.col(to).alias("related"), "relation", "category", F.lit(how).alias("direction"), "source_task", "weight")
-    steps = side("head", "tail", "out").unionByName(side("tail", "head", "in")).join(F.broadcast(reached), F.col("entity") == F.col("name")).withColumn("hop", F.col("hop") + 1)
+    steps = side("head", "tail", "out").unionByName(side("tail", "head", "in")).join(tables.small(reached), F.col("entity") == F.col("name")).withColumn("hop", F.col("hop") + 1)
     best = Window.partitionBy("entity", "related", "relation", "direction").orderBy(F.desc("weight"), "hop", "source_task")
     return steps.withColumn("n", F.row_number().over(best)).where("n = 1").select("entity", "related", "relation", "category", "hop", "direction", "source_task", "weight")
 
@@ -166,3 +182,14 @@ def anti_idf(graph: Graph, names: DataFrame, tasks: DataFrame, limit: int = 50)
     part = F.log1p(F.col("n") / F.greatest(F.col("task_count"), F.lit(1)))
     scored = graph.tasks.join(tables.small(hit.select("name", part.alias("part"))), "name").groupBy("task").agg(F.sum("part").alias("score"))
     return scored.join(tasks.select("task"), "task", "left_semi").orderBy(F.round("score", 9).desc(), "task").limit(limit)
+
+
+def anti_idf_each(graph: Graph, names: DataFrame, tasks: DataFrame, limit: int = 50) -> DataFrame:
+    """(query, doc, score, rank): anti_idf() for the names(query, name) of many queries."""
+    n = tasks.count()
+    weight = graph.nodes.join(names.select("name").distinct(), "name", "left_semi").select("name", F.log1p(F.lit(max(n, 1)) / F.greatest(F.col("task_count"), F.lit(1))).alias("part"))
+    asked = names.select("query", "name").distinct().join(weight, "name")
+    scored = graph.tasks.join(tables.small(asked), "name").groupBy("query", F.col("task").alias("doc")).agg(F.sum("part").alias("score"))
+    known = scored.join(tasks.select(F.col("task").alias("doc")), "doc", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc"))
+    return known.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "doc", "score", "rank")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import hashing
-from loomgraph.sources import tables
+from loomgraph.sources import snapshots, tables
 
 
 def decide(current: DataFrame, checkpoint: DataFrame, key: str = "session_id", mark: str = "turns_hash", version: int | None = None) -> DataFrame:
@@ -26,6 +26,45 @@ def resume_batches(planned: DataFrame, done: DataFrame) -> DataFrame:
     return planned.join(good, ["session", "batch_id", "content_hash"], "left").withColumn("reuse", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
+def save_checkpoint(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a checkpoint; none if it is missing, and none of them if any line is not a row of the schema."""
+    empty = spark.createDataFrame([], schema)
+    if not snapshots.exists(spark, path):
+        return empty
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    if not rows.where("r is null or r._corrupt is not null").isEmpty():
+        return empty
+    return rows.select("r.*").drop("_corrupt")
+
+
+def decide_batches(current: DataFrame, checkpoint: DataFrame, batches: DataFrame, key: str = "session") -> DataFrame:
+    """(key, done): the fingerprint of current(key, fingerprint) is that of the checkpoint, and no batch of batches(key, status) in it
+    is anything but a success."""
+    bad = batches.where(F.coalesce(F.col("status") != "success", F.lit(True))).select(key, F.lit(True).alias("_bad")).distinct()
+    old = checkpoint.select(key, F.col("fingerprint").alias("_was"))
+    joined = current.select(key, "fingerprint").join(old, key, "left").join(bad, key, "left")
+    return joined.select(key, (F.coalesce(F.col("_was") == F.col("fingerprint"), F.lit(False)) & F.col("_bad").isNull()).alias("done"))
+
+
+def carry_over(rows: DataFrame, decided: DataFrame, key: str = "session") -> tuple[DataFrame, DataFrame]:
+    """(rows of earlier output that stay: those of sessions that are done, orphans: rows of sessions that are no longer there)."""
+    return rows.join(decided.where("done").select(key), key, "left_semi"), rows.join(decided.select(key), key, "left_anti")
+
+
+def surgery(checkpoint: DataFrame, plan: DataFrame) -> DataFrame:
+    """A checkpoint(session, batch_id, status, ...) prepared for rerun_plan()'s rows: sessions to be redone whole are gone, other
+    planned batches count as failed. The checkpoint itself stays as it is; snapshots.restore() brings an older one back."""
+    whole = plan.where("whole_session").select("session").distinct()
+    flip = plan.where("not whole_session").select("session", "batch_id", F.lit(True).alias("_flip")).distinct()
+    left = checkpoint.join(whole, "session", "left_anti").join(flip, ["session", "batch_id"], "left")
+    return left.withColumn("status", F.when(F.col("_flip"), "failed").otherwise(F.col("status"))).drop("_flip")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new over old, one row for each key; of equal keys within a side, the row of the largest content."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))

@@ -72,8 +72,18 @@ def key_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def model_rollup(runs: DataFrame) -> DataFrame:
-    """(model, n_runs, success_rate, avg_latency, p50, p90) from runs(model, ok, latency)."""
-    return runs.groupBy("model").agg(F.count("*").alias("n_runs"), F.avg(F.col("ok").cast("int")).alias("success_rate"), F.avg("latency").alias("avg_latency"), F.percentile("latency", F.lit(0.5)).alias("p50"), F.percentile("latency", F.lit(0.9)).alias("p90"))
+    """(model, n_runs, success_rate, avg_latency, p50, p90) from runs(model, ok, latency). Percentiles are exact: all latencies are
+    numbered in one total order, by ranges, and each model's two rows around a percentile are picked by number."""
+    plain = runs.groupBy("model").agg(F.count("*").alias("n_runs"), F.avg(F.col("ok").cast("int")).alias("success_rate"), F.avg("latency").alias("avg_latency"), F.count("latency").alias("_m"))
+    plain = tables.cut(plain, "models")
+    placed = tables.numbered(runs.where("latency is not null").select("model", F.col("latency").cast("double").alias("latency")), "model", "latency")
+    begin = placed.groupBy("model").agg(F.min("n").alias("_begin"))
+    spots = plain.where("_m > 0").join(begin, "model").select("model", F.explode(F.array(F.lit(0.5), F.lit(0.9))).alias("p"), "_m", "_begin").withColumn("at", F.col("p") * (F.col("_m") - 1))
+    ends = spots.select("model", "p", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k"), "_begin").withColumn("n", F.col("_begin") + F.col("k"))
+    near = placed.select("n", "latency").join(tables.small(ends), "n").groupBy("model", "p", "at").agg(F.min_by("latency", "k").alias("low"), F.max_by("latency", "k").alias("high"))
+    value = near.select("model", "p", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("v"))
+    both = value.groupBy("model").agg(F.max(F.when(F.col("p") == 0.5, F.col("v"))).alias("p50"), F.max(F.when(F.col("p") == 0.9, F.col("v"))).alias("p90"))
+    return plain.drop("_m").join(both, "model", "left")
 
 
 def every_nth(keys: DataFrame, key: str, size: str, take: int) -> DataFrame:

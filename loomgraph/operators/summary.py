@@ -43,13 +43,22 @@ def sections(claims: DataFrame, topic: str) -> DataFrame:
     return claims.distinct().withColumn("n", F.row_number().over(order)).where("n = 1").select("entity", "task")
 
 
-def section_hints(section_rows: DataFrame, steps: DataFrame, most: int = 5) -> DataFrame:
-    """(entity, tasks, hints): each section with up to `most` decision hints, by hop and category."""
-    order = Window.partitionBy("entity").orderBy("hop", "category", "related", "relation")
+def section_hints(section_rows: DataFrame, steps: DataFrame, most: int = 5, tasks: DataFrame | None = None) -> DataFrame:
+    """(entity, tasks, hints): each section with up to `most` decision hints, by hop and category; its tasks by name, or by the
+    created_at of tasks(task, created_at) if given."""
+    order = Window.partitionBy("entity").orderBy("hop", "category", "related", "relation", "direction")
     hints = steps.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     told = hints.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", "relation", "related").alias("t")))), lambda x: x["t"]).alias("hints"))
-    tasks = section_rows.groupBy("entity").agg(F.array_sort(F.collect_list("task")).alias("tasks"))
-    return tasks.join(told, "entity", "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<string>")))
+    dated = section_rows.withColumn("created_at", F.lit("")) if tasks is None else section_rows.join(tasks.select("task", "created_at"), "task", "left")
+    listed = dated.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "task"))), lambda x: x["task"]).alias("tasks"))
+    return listed.join(told, "entity", "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<string>")))
+
+
+def format_skeleton(sections_: DataFrame, topic: str, trace: DataFrame | None = None) -> DataFrame:
+    """(entity, text): a section as text, the topic's marked as the main one: tasks one a line, then hints."""
+    head = F.concat(F.lit("## "), F.col("entity"), F.when(F.col("entity") == topic, F.lit(" (main)")).otherwise(F.lit("")))
+    lines = F.concat(F.array(head), F.transform("tasks", lambda t: F.concat(F.lit("- "), t.cast("string"))), F.transform("hints", lambda h: F.concat(F.lit("> "), h)))
+    return sections_.select("entity", F.array_join(lines, "\n").alias("text"))
 
 
 def list_sessions(tasks: DataFrame, limit: int | None = 20) -> DataFrame:

@@ -55,9 +55,10 @@ def format_prompts(chunks: DataFrame, chunk_tokens: int = 3000, budget: int = PR
     return size.where(F.col("tokens") <= budget).select(*key, "prompt", "tokens").unionByName(again)
 
 
-def call_model(prompts: DataFrame, model: Callable[[str], str], column: str = "prompt", attempts: int = 3, wait: float = 2.0, valid: Callable[[str], bool] = lambda reply: extract_json(reply) is not None) -> DataFrame:
+def call_model(prompts: DataFrame, model: Callable[[str], str | dict], column: str = "prompt", attempts: int = 3, wait: float = 2.0, rate_wait: float = 30.0, valid: Callable[[str], bool] = lambda reply: extract_json(reply) is not None) -> DataFrame:
     """prompts with reply, attempts and error. The model is any function of the prompt; it is called again, after waits that
-    double, when it raises or its reply is not valid. What still fails gives a null reply and the error."""
+    double, when it raises or its reply is not valid; the waits are longer when the error tells of a rate limit. A reply may be a
+    dict with content and reasoning: the reasoning stands in for empty content. What still fails gives a null reply and the error."""
     schema = StructType([*prompts.schema.fields, StructField("reply", StringType()), StructField("attempts", IntegerType()), StructField("error", StringType())])
     kept = prompts.columns
 
@@ -66,13 +67,16 @@ def call_model(prompts: DataFrame, model: Callable[[str], str], column: str = "p
         for n in range(1, attempts + 1):
             try:
                 reply = model(prompt)
+                if isinstance(reply, dict):
+                    reply = reply.get("content") or reply.get("reasoning") or ""
                 if valid(reply):
                     return reply, n, None
                 error = "the reply is not valid"
             except Exception as e:  # noqa: BLE001  whatever a model raises is a failed attempt
                 error = str(e) or type(e).__name__
             if n < attempts:
-                time.sleep(wait * 2 ** (n - 1))
+                limited = bool(error and re.search(r"\b429\b|rate.?limit|too many requests", error, re.I))
+                time.sleep((rate_wait if limited else wait) * 2 ** (n - 1))
         return None, attempts, error
 
     def run(batches):
@@ -168,6 +172,48 @@ def parse_tasks(replies: DataFrame, reply: str = "reply", session: str = "sessio
     return tasks.select(session, "task_pos", "t.task_label", "t.task_summary", F.explode_outer("t.chunk_ids").alias("c")).withColumn("chunk_id", text.full_chunk_id("c", F.col(session).cast("string"))).drop("c")
 
 
+def parse_entities(replies: DataFrame, reply: str = "reply", task: str = "task", checked: bool = True) -> DataFrame:
+    """(entity, source_task) of replies {"entities": [...]} or a bare list; names are stripped, and (checked) empty and generic ones go."""
+    from loomgraph.functions import text
+
+    body = extract_json_udf(F.col(reply))
+    listed = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>")).otherwise(F.from_json(body, "struct<entities:array<string>>")["entities"])
+    rows = replies.select(F.col(task).alias("source_task"), F.explode(listed).alias("e")).select(text.strip("e").alias("entity"), "source_task").where("entity is not null")
+    return rows.where(text.valid_name("entity")) if checked else rows.where("entity <> ''")
+
+
+def validate_ids(parsed: DataFrame, chunks: DataFrame, session: str = "session_id", most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """parse_tasks() rows checked against chunks(session, chunk_id): (rows whose chunk id is known, with null chunks for tasks that
+    are left without; a row for each session: n_tasks, n_unknown, odd: fewer than one task or more than `most`)."""
+    known = chunks.select(session, "chunk_id", F.lit(True).alias("_known")).distinct()
+    marked = parsed.join(known, [session, "chunk_id"], "left")
+    good = marked.where("_known").drop("_known")
+    alone = marked.select(session, "task_pos", "task_label", "task_summary").distinct().join(good.select(session, "task_pos").distinct(), [session, "task_pos"], "left_anti").withColumn("chunk_id", F.lit(None).cast("string"))
+    n = F.count_distinct("task_pos")
+    report = marked.groupBy(session).agg(n.alias("n_tasks"), F.count_if(F.col("_known").isNull() & F.col("chunk_id").isNotNull()).alias("n_unknown")).withColumn("odd", (F.col("n_tasks") < 1) | (F.col("n_tasks") > most))
+    return good.select(session, "task_pos", "task_label", "task_summary", "chunk_id").unionByName(alone), report
+
+
+def schedule(batches: DataFrame, session: str = "session") -> DataFrame:
+    """(session, batch_id, phase): 0 for all where there is one session only; else 1 for sessions of one batch, then 2 for every batch
+    of the others. Within a phase Spark runs them as its tasks come; results are ordered by (session, batch_id) afterwards."""
+    sizes = batches.groupBy(session).agg(F.count("*").alias("_n"))
+    several = sizes.limit(2).count() > 1
+    return batches.join(sizes, session).select(session, "batch_id", (F.when(F.col("_n") == 1, 1).otherwise(2) if several else F.lit(0)).alias("phase"))
+
+
+def confirmations(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """(a, b, merge) of a model's replies on pairs: a JSON list [{"pair": [a, b], "action": "merge" or "keep"}], an object
+    {"results": [...]} of them, or for a row with columns a and b one object {"action": ...} or the words yes and no."""
+    item = "array<struct<pair:array<string>,action:string>>"
+    body = extract_json_udf(F.col(reply))
+    listed = F.when(F.startswith(body, F.lit("[")), F.from_json(body, item)).otherwise(F.from_json(body, f"struct<results:{item}>")["results"])
+    rows = replies.withColumn("_l", listed).withColumn("_one", F.coalesce(F.from_json(body, "struct<action:string>")["action"], F.regexp_extract(F.lower(reply), r"\b(yes|no|merge|keep)\b", 1)))
+    many = rows.where("_l is not null").select(F.explode("_l").alias("x")).select(F.col("x.pair")[0].alias("a"), F.col("x.pair")[1].alias("b"), F.lower("x.action").alias("said"))
+    single = rows.where("_l is null").select("a", "b", F.lower("_one").alias("said"))
+    return many.unionByName(single).select("a", "b", F.col("said").isin("merge", "yes").alias("merge"))
+
+
 def repair_owners(owned: pd.DataFrame, turns: dict[str, int]) -> pd.DataFrame:
     """(task_pos, chunk_id) in which every chunk of a session has one owner.
 

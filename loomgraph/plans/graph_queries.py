@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph_build, graph_query, incremental, quality, summary
 from loomgraph.plans import search as plans
+from loomgraph.plans import search_queries
 from loomgraph.plans.registry import query, rounded
 from loomgraph.sources import tables
 
@@ -29,8 +30,19 @@ def identity(names):
 
 
 def graph(spark, place):
+    """Triples, tasks and edges are written once; what a query does not use of the nodes is not computed."""
+    t = tables.cut(triples(spark, place), "triples")
+    named = tables.cut(graph_build.mentions(t), "mentions")
+    edges = t.select("head", "relation", "tail", F.col("confidence").alias("weight"), "source_task", F.lit("triple").alias("extraction_mode"))
+    return graph_build.graph_of(named, identity(named.select("name").distinct()), edges)
+
+
+def merged_graph(spark, place):
+    """Customers by twos are one entity, named after the even one of them."""
     t = triples(spark, place)
-    return graph_build.triple_graph(t, identity(graph_build.entities(graph_build.mentions(t))))
+    names = graph_build.entities(graph_build.mentions(t))
+    number = F.substring("name", 2, 20).cast("long")
+    return graph_build.triple_graph(t, names.select("name", F.when(F.col("name").startswith("c"), F.concat(F.lit("c"), number - number % 2)).otherwise(F.col("name")).alias("canonical")))
 
 
 def hierarchy(spark, place):
@@ -233,9 +245,19 @@ def skeleton_sections(spark, place):
     return summary.sections(claims, "c1")
 
 
-@query()
+@query(f"""WITH {STEPS},
+ ends AS (SELECT head AS name, source_task AS task FROM tri UNION SELECT tail, source_task FROM tri), claims AS (SELECT DISTINCT name AS entity, task FROM ends WHERE name = 'c1' OR name IN (SELECT b FROM near WHERE a = 'c1' ORDER BY b LIMIT 29)),
+ first AS (SELECT task FROM (SELECT DISTINCT task FROM claims) JOIN orders ON o_orderkey = task ORDER BY strftime(o_orderdate, '%Y-%m-%d'), task LIMIT 40),
+ own AS (SELECT entity, task FROM claims WHERE task IN (SELECT task FROM first) QUALIFY row_number() OVER (PARTITION BY task ORDER BY CASE WHEN entity = 'c1' THEN 0 ELSE 1 END, entity) = 1),
+ sec AS (SELECT entity, list(task ORDER BY strftime(o_orderdate, '%Y-%m-%d'), task) AS tasks FROM own JOIN orders ON o_orderkey = task GROUP BY entity),
+ hin AS (SELECT entity, relation || ' ' || related AS t, row_number() OVER (PARTITION BY entity ORDER BY hop, category, related, relation, direction) AS k FROM steps QUALIFY k <= 5),
+ told AS (SELECT entity, list(t ORDER BY k) AS hints FROM hin GROUP BY entity)
+SELECT sec.entity, tasks, coalesce(hints, []) AS hints, '## ' || sec.entity || CASE WHEN sec.entity = 'c1' THEN ' (main)' ELSE '' END || chr(10) || array_to_string(list_transform(tasks, lambda t: '- ' || t) || list_transform(coalesce(hints, []), lambda h: '> ' || h), chr(10)) AS text FROM sec LEFT JOIN told ON told.entity = sec.entity""")
 def skeleton_summary(spark, place):
-    return plans.skeleton(graph(spark, place), categories(spark), "c1")
+    """The sections of one customer: its 40 first orders by date, each under the first entity that has it."""
+    orders = tables.read(spark, place, "orders").select(F.col("o_orderkey").alias("task"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
+    found = tables.cut(plans.skeleton(graph(spark, place), categories(spark), "c1", depth=1, tasks=orders, limit=40, hops=2), "sections")
+    return found.join(summary.format_skeleton(found, "c1"), "entity")
 
 
 @query("""SELECT o_orderkey AS task FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -279,14 +301,26 @@ def alias_expand(spark, place):
     return plans.expand_query(index, surface, queries)
 
 
-@query()
-def graph_rag_search(spark, place):
-    """Graph-RAG over sources: entities are languages and sources, linked where a source has documents of a language."""
-    from loomgraph.plans import search_queries
+GRAPH_RAG = f"""WITH {search_queries.three_sql(80)}, pool AS (SELECT query, doc, rank FROM f WHERE rank <= 80),
+ ge AS (SELECT DISTINCT source AS head, lang AS tail FROM documents), gt AS (SELECT head AS name, head AS task FROM ge UNION SELECT tail, head FROM ge),
+ gn AS (SELECT name, count(*) AS task_count FROM gt GROUP BY name), seeds AS (SELECT DISTINCT query, name FROM ({search_queries.HYBRID_Q}) h JOIN benchmark ON item_id = query JOIN gn ON length(name) >= 2 AND contains(lower(text), lower(name))),
+ nb AS (SELECT head AS a, tail AS b FROM ge UNION SELECT tail, head FROM ge), seen AS (SELECT query, name FROM seeds UNION SELECT query, b FROM seeds JOIN nb ON a = name), n AS (SELECT count(DISTINCT source) AS n FROM documents),
+ gs AS (SELECT query, task AS doc, sum(ln(1 + n / task_count)) AS score FROM seen JOIN gn USING (name) JOIN gt USING (name), n GROUP BY query, task),
+ gr AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM gs QUALIFY rank <= 50), {search_queries.rrf_sql('w', 'pool', 'gr', 30, '0.7', '0.3')},
+ sm AS (SELECT source AS doc, arg_min(split_part(text, chr(10), 1), doc_id) AS summary FROM documents GROUP BY source),
+ tok AS (SELECT query, doc, w.score AS hybrid, first_rank, second_rank, list_distinct({search_queries.TOKENS.format(c='b.text')}) AS qt, list_distinct({search_queries.TOKENS.format(c='summary')}) AS dt FROM w JOIN benchmark b ON b.item_id = query JOIN sm USING (doc) WHERE rank <= 16),
+ rr AS (SELECT *, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END AS score FROM tok)
+SELECT query, doc, round(score, 6) AS score, round(hybrid, 9) AS hybrid_score, CAST(rank AS INTEGER) AS rank, CAST(first_rank AS INTEGER) AS first_rank, CAST(second_rank AS INTEGER) AS second_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, round(hybrid, 12) DESC, doc) AS rank FROM rr) WHERE rank <= 8"""
+
 
+@query(GRAPH_RAG)
+def graph_rag_search(spark, place):
+    """Graph-RAG over sources for every query: entities are languages and sources, linked where a source has documents of a
+    language. All of them together are fewer than the cap on nodes."""
     docs = tables.read(spark, place, "documents")
-    edges = docs.select(F.col("source").alias("head"), F.lit("has").alias("relation"), F.col("lang").alias("tail"), F.lit(1.0).alias("weight"), F.col("source").alias("source_task")).distinct()
+    edges = tables.cut(docs.select(F.col("source").alias("head"), F.lit("has").alias("relation"), F.col("lang").alias("tail"), F.lit(1.0).alias("weight"), F.col("source").alias("source_task")).distinct(), "edges")
     named = graph_build.mentions(edges)
     g = graph_build.graph_of(named, identity(graph_build.entities(named)), edges)
     queries = search_queries._hybrid_queries(spark, place)
-    return plans.graph_rag(search_queries.corpus(spark, place), g, queries, 0)
+    found = plans.graph_rag(search_queries.corpus(spark, place), g, queries)
+    return found.select("query", "doc", rounded("score").alias("score"), rounded("hybrid_score", 9).alias("hybrid_score"), "rank", "first_rank", "second_rank")

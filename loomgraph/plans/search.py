@@ -16,18 +16,33 @@ from loomgraph.sources import tables
 
 @dataclass
 class Corpus:
-    """tasks(task, label, summary, created_at, chunk_ids, embedding), chunks(chunk, task, summary, content)."""
+    """tasks(task, label, summary, created_at, chunk_ids, embedding), chunks(chunk, task, summary, content), and for dense search over
+    chunks their embedding. chunk_ids are needed to expand tasks only. Both indexes are built once and kept."""
 
     tasks: DataFrame
     chunks: DataFrame
     hooks: Hooks = field(default_factory=Hooks)
+    #: How chunks are searched: sparse (BM25) or dense.
+    chunk_search: str = "sparse"
 
     def __post_init__(self):
-        self.summaries = bm25.build(self.chunks.where(F.coalesce("summary", F.lit("")) != ""), "chunk", "summary")
-        self.contents = bm25.build(self.chunks, "chunk", "content")
+        if self.chunk_search not in ("sparse", "dense"):
+            raise ValueError("chunk_search is sparse or dense")
+        if self.chunk_search == "sparse":
+            self.summaries = bm25.build(self.chunks.where(F.coalesce("summary", F.lit("")) != ""), "chunk", "summary")
+            self.contents = bm25.build(self.chunks, "chunk", "content")
         self.owners = self.chunks.select("chunk", "task")
 
 
+def search_chunks(corpus: Corpus, queries: DataFrame, n: int, field_: str = "summaries") -> DataFrame:
+    """The n best chunks of each query by the corpus' way of searching chunks: BM25 over summaries or contents, or dense over the
+    vectors of chunks with a summary (or all)."""
+    if corpus.chunk_search == "dense":
+        chunks = corpus.chunks.where(F.coalesce("summary", F.lit("")) != "") if field_ == "summaries" else corpus.chunks
+        return dense.search(chunks, queries, n, "chunk", "query")
+    return bm25.top(bm25.scores(getattr(corpus, field_), bm25.query_terms(queries, "query")), n)
+
+
 def candidates(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: int = 5) -> DataFrame:
     """(query, doc, score, first_rank, second_rank, rank): n = top_k x multiplier tasks of each of queries(query, text, embedding).
 
@@ -36,9 +51,8 @@ def candidates(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: i
     """
     n = top_k * multiplier
     near = dense.search(corpus.tasks, queries, n, "task", "query")
-    terms = bm25.query_terms(queries, "query")
-    roll = lambda index: fusion.chunks_to_tasks(bm25.top(bm25.scores(index, terms), 3 * n), corpus.owners, corpus.tasks)
-    inner = fusion.rrf(roll(corpus.summaries), roll(corpus.contents))
+    roll = lambda field_: fusion.chunks_to_tasks(search_chunks(corpus, queries, 3 * n, field_), corpus.owners, corpus.tasks)
+    inner = fusion.rrf(roll("summaries"), roll("contents"))
     return fusion.rrf(near, inner).where(F.col("rank") <= n)
 
 
@@ -58,40 +72,49 @@ def search(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: int =
     return ranked.join(tasks, "doc").join(summary.expand_chunks(corpus.tasks, corpus.chunks).withColumnRenamed("task", "doc"), "doc", "left")
 
 
+def _grams(c):
+    """The distinct lower-cased runs of one and of two characters: whatever contains a text has its first one."""
+    low = F.lower(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2))))))
+
+
 def resolve_seeds(nodes: DataFrame, names: DataFrame, fuzzy: int = 3) -> DataFrame:
-    """(query, name): the node of an extracted name, else its first fuzzy matches. names(query, entity) are few."""
+    """(query, name): the node of an extracted name, else its first fuzzy matches: nodes whose name or alias contains it, found by
+    its first two characters. names(query, entity)."""
     exact = names.join(nodes.select("name"), F.col("entity") == F.col("name"), "left")
     low = F.lower("entity")
-    hit = F.broadcast(exact.where("name is null").select("query", "entity")).join(nodes.select("name", "task_count", "aliases"), F.contains(F.lower("name"), low) | F.exists("aliases", lambda a: F.contains(F.lower(a), low)))
+    loose = exact.where("name is null and entity <> ''").select("query", "entity", F.substring(low, 1, 2).alias("gram"))
+    surfaces = nodes.select("name", "task_count", "aliases", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(F.array("name"), "aliases"), _grams)))).alias("gram"))
+    hit = surfaces.join(tables.small(loose), "gram").where(F.contains(F.lower("name"), low) | F.exists("aliases", lambda a: F.contains(F.lower(a), low)))
     rank = F.when(F.startswith(F.lower("name"), low), 1).when(F.exists("aliases", lambda a: F.startswith(F.lower(a), low)), 2).when(F.contains(F.lower("name"), low), 4).otherwise(5)
     order = Window.partitionBy("query", "entity").orderBy(rank, F.length("name"), F.desc("task_count"), "name")
-    loose = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fuzzy)
-    return exact.where("name is not null").select("query", "name").union(loose.select("query", "name")).distinct()
+    first = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fuzzy)
+    return exact.where("name is not null").select("query", "name").union(first.select("query", "name")).distinct()
 
 
 def dictionary_entities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, entity): node names of two characters or more that stand in the query: the offline extractor."""
-    return F.broadcast(queries.select("query", "text")).join(nodes.where(F.length("name") >= 2).select("name"), F.contains(F.lower("text"), F.lower("name"))).select("query", F.col("name").alias("entity"))
+    """(query, entity): node names of two characters or more that stand in the query, found by their first two: the offline
+    extractor."""
+    asked = queries.select("query", F.lower("text").alias("_t"), F.explode(_grams("text")).alias("gram"))
+    named = nodes.where(F.length("name") >= 2).select("name", F.substring(F.lower("name"), 1, 2).alias("gram"))
+    return named.join(tables.small(asked), "gram").where(F.contains("_t", F.lower("name"))).select("query", F.col("name").alias("entity")).distinct()
 
 
-def graph_ranks(graph: Graph, tasks: DataFrame, seeds: DataFrame, query, depth: int = 1, max_nodes: int = 30, limit: int = 50) -> DataFrame:
-    """(query, doc, score, rank): tasks of the entities around the seeds of one query."""
-    around = graph_query.bfs(graph.edges, seeds.where(F.col("query") == query).select("name"), depth, max_nodes)
-    scored = graph_query.anti_idf(graph, around, tasks, limit)
-    order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "doc")
-    return scored.select(F.lit(query).alias("query"), F.col("task").alias("doc"), "score").withColumn("rank", F.row_number().over(order))
+def graph_ranks(graph: Graph, tasks: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 30, limit: int = 50) -> DataFrame:
+    """(query, doc, score, rank): tasks of the entities around the seeds of every query."""
+    around = graph_query.bfs_each(graph.edges, seeds, depth, max_nodes)
+    return graph_query.anti_idf_each(graph, around, tasks, limit)
 
 
-def graph_rag(corpus: Corpus, graph: Graph, queries: DataFrame, query, top_k: int = 8, rerank_multiplier: float = 2.0, graph_weight: float = 0.3, k: int = 30) -> DataFrame:
-    """Graph-RAG for one query: the vector pool and the graph's tasks fused by weighted RRF, reranked, top_k."""
+def graph_rag(corpus: Corpus, graph: Graph, queries: DataFrame, top_k: int = 8, rerank_multiplier: float = 2.0, graph_weight: float = 0.3, k: int = 30) -> DataFrame:
+    """Graph-RAG for all queries: the vector pool and the graph's tasks fused by weighted RRF, reranked, top_k."""
     if rerank_multiplier < 1:
         raise ValueError("rerank_multiplier is 1 or more")
-    one = queries.where(F.col("query") == query)
-    pool = candidates(corpus, one, max(int(top_k * rerank_multiplier), top_k))
-    seeds = resolve_seeds(graph.nodes, dictionary_entities(one, graph.nodes))
-    fused = fusion.weighted_rrf(pool, graph_ranks(graph, corpus.tasks, seeds, query), k, graph_weight)
-    short = fused.where(F.col("rank") <= max(int(top_k * rerank_multiplier), top_k))
-    return rerank(short, one, corpus.tasks, corpus.hooks, top_k).join(fused.select("query", "doc", "first_rank", "second_rank"), ["query", "doc"])
+    most = max(int(top_k * rerank_multiplier), top_k)
+    pool = candidates(corpus, queries, most)
+    seeds = resolve_seeds(graph.nodes, dictionary_entities(queries, graph.nodes))
+    fused = tables.cut(fusion.weighted_rrf(pool, graph_ranks(graph, corpus.tasks, seeds), k, graph_weight), "fused")
+    return rerank(fused.where(F.col("rank") <= most), queries, corpus.tasks, corpus.hooks, top_k).join(fused.select("query", "doc", "first_rank", "second_rank"), ["query", "doc"])
 
 
 def summarize(ranked: DataFrame, tasks: DataFrame, chunks: DataFrame, level: str = "summary", budget: int = 12000, max_tasks: int = 10, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -126,8 +149,12 @@ def expand_query(index: bm25.Index, nodes: DataFrame, queries: DataFrame, max_to
     return own.select("query", "term").unionAll(extra.join(own.select("query", "term").distinct(), ["query", "term"], "left_anti"))
 
 
-def skeleton(graph: Graph, categories: DataFrame, topic: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
-    """(entity, tasks, hints): the sections of a topic, each task under the first section that has it."""
+def skeleton(graph: Graph, categories: DataFrame, topic: str, depth: int = 2, max_nodes: int = 30, tasks: DataFrame | None = None, limit: int | None = None, hops: int = 3) -> DataFrame:
+    """(entity, tasks, hints): the sections of a topic, each task under the first section that has it. With tasks(task, created_at) a
+    section lists its tasks by time, and only the first `limit` tasks of all, by time, come in."""
     around = graph_query.bfs(graph.edges, graph.nodes.where(F.col("name") == topic).select("name"), depth, max_nodes)
-    claims = graph.tasks.join(F.broadcast(around), "name").select(F.col("name").alias("entity"), "task")
-    return summary.section_hints(summary.sections(claims, topic), graph_query.trace(graph.edges, categories, topic))
+    claims = graph.tasks.join(tables.small(around), "name").select(F.col("name").alias("entity"), "task")
+    if tasks is not None and limit is not None:
+        first = claims.select("task").distinct().join(tasks.select("task", "created_at"), "task").orderBy("created_at", "task").limit(limit).select("task")
+        claims = claims.join(first, "task", "left_semi")
+    return summary.section_hints(summary.sections(claims, topic), graph_query.trace(graph.edges, categories, topic, hops), tasks=tasks)

@@ -17,14 +17,15 @@ TOKENS = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
 def bm25_sql(p: str, docs: str, doc: str, body: str, k: int, queries: str = "benchmark", query_id: str = "item_id", query_body: str = "text") -> str:
     """CTEs <p>idf(term, df, idf), <p>score(query, doc, score) and <p>top(query, doc, score, rank)."""
     return f"""
- {p}d AS (SELECT {doc} AS doc, {TOKENS.format(c=body)} AS w FROM {docs} WHERE len({TOKENS.format(c=body)}) > 0),
- {p}c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {p}d),
- {p}p AS (SELECT doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM {p}d) GROUP BY doc, len(w), term),
- {p}t AS (SELECT term, count(*) AS df FROM {p}p GROUP BY term),
- {p}r AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM {p}t, {p}c),
- {p}idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}r) ELSE raw END AS idf FROM {p}r),
+ {p}d AS MATERIALIZED (SELECT {doc} AS doc, {TOKENS.format(c=body)} AS w FROM {docs} WHERE len({TOKENS.format(c=body)}) > 0),
+ {p}c AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {p}d),
+ {p}p AS MATERIALIZED (SELECT doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM {p}d) GROUP BY doc, len(w), term),
+ {p}t AS MATERIALIZED (SELECT term, count(*) AS df FROM {p}p GROUP BY term),
+ {p}r AS MATERIALIZED (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM {p}t, {p}c),
+ {p}m AS MATERIALIZED (SELECT avg(raw) AS mean FROM {p}r),
+ {p}idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM {p}r, {p}m),
  {p}q AS (SELECT query, term, count(*) AS times FROM (SELECT {query_id} AS query, unnest({TOKENS.format(c=query_body)}) AS term FROM {queries}) GROUP BY query, term),
- {p}score AS (SELECT query, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM {p}p JOIN {p}q USING (term) JOIN {p}idf USING (term), {p}c GROUP BY query, doc HAVING sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0),
+ {p}score AS MATERIALIZED (SELECT query, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM {p}p JOIN {p}q USING (term) JOIN {p}idf USING (term), {p}c GROUP BY query, doc HAVING sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0),
  {p}top AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {p}score QUALIFY rank <= {k})"""
 
 
@@ -85,8 +86,8 @@ def bm25_idf(spark, place):
     return bm25.term_idf(bm25.build(tables.read(spark, place, "documents"))).select("term", "df", rounded("idf").alias("idf"))
 
 
-@query(f"""WITH {bm25_sql('', 'documents', 'doc_id', 'text', 1)}, m AS (SELECT term, max(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS best FROM p JOIN idf USING (term), c GROUP BY term)
-SELECT term, round(greatest(coalesce(best, 0), 0), 6) AS idf_proxy FROM (SELECT DISTINCT term FROM q) LEFT JOIN m USING (term)""")
+@query(f"""WITH {bm25_sql('', 'documents', 'doc_id', 'text', 1)}, best AS (SELECT term, max(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS best FROM p JOIN idf USING (term), c GROUP BY term)
+SELECT term, round(greatest(coalesce(best, 0), 0), 6) AS idf_proxy FROM (SELECT DISTINCT term FROM q) LEFT JOIN best USING (term)""")
 def token_idf_proxy(spark, place):
     terms = bm25.query_terms(_queries(spark, place)).select("term").distinct()
     return bm25.token_idf(bm25.build(tables.read(spark, place, "documents")), terms).select("term", rounded("idf_proxy").alias("idf_proxy"))
@@ -97,15 +98,15 @@ def dense_topk(spark, place):
     return hits(_dense(spark, place, 10))
 
 
-SPARSE = r"""w AS (SELECT doc_id AS doc, CAST(length(term) AS INTEGER) AS token, max(n) AS weight FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY doc_id, term) WHERE length(term) > 3 GROUP BY doc_id, length(term))"""
+SPARSE = r"""w AS (SELECT doc_id AS doc, CAST(('0x' || substr(md5(term), 1, 7)) AS BIGINT) % 30000 AS token, max(n) AS weight FROM (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY doc_id, term) WHERE CAST(('0x' || substr(md5(term), 1, 7)) AS BIGINT) % 30000 > 3 GROUP BY doc_id, CAST(('0x' || substr(md5(term), 1, 7)) AS BIGINT) % 30000)"""
 
 
 @query(f"""WITH {SPARSE}, s AS (SELECT q.doc AS query, p.doc, sum(p.weight * q.weight) AS score FROM w p JOIN w q USING (token) WHERE q.doc % 50 = 0 GROUP BY q.doc, p.doc),
  top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s QUALIFY rank <= 10) SELECT {HITS} FROM top""")
 def sparse_vector_topk(spark, place):
-    """A word's length stands for its token id, its count for the weight; each id keeps its largest weight."""
+    """A word's hash stands for its token id, its count for the weight; each id keeps its largest weight."""
     terms = tables.read(spark, place, "documents").select(F.col("doc_id").alias("doc"), F.explode(text.tokens("text")).alias("term")).groupBy("doc", "term").agg(F.count("*").cast("double").alias("weight"))
-    points = dense.max_pool(terms.select("doc", F.length("term").alias("token"), "weight"))
+    points = dense.max_pool(terms.select("doc", (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 7), 16, 10).cast("long") % 30000).alias("token"), "weight"))
     queries = points.where("doc % 50 = 0").select(F.col("doc").alias("query"), "token", "weight")
     return hits(dense.sparse_search(points, queries))
 
@@ -141,20 +142,28 @@ def hybrid_cross_collection(spark, place):
 
 
 CENTRES = """cent AS (SELECT source AS doc, list(v ORDER BY i) AS e FROM (SELECT source, i, avg(x) AS v FROM (SELECT source, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM documents JOIN embeddings ON vec_id = doc_id) GROUP BY source, i) GROUP BY source)"""
-THREE = f"""{CENTRES}, {dense_sql('d', 25, HYBRID_Q, 'SELECT doc, e FROM cent')}, {bm25_sql('u', '(SELECT doc_id, substr(text, 1, 200) AS summary FROM documents)', 'doc_id', 'summary', 75)}, {roll_sql('utask', 'utop')},
- {bm25_sql('x', 'documents', 'doc_id', 'text', 75)}, {roll_sql('xtask', 'xtop')}, {rrf_sql('inn', 'utask', 'xtask')}, {rrf_sql('f', 'dtop', 'inn')}"""
+
+
+def three_sql(n: int) -> str:
+    """CTE f: the candidates of the three-way search, n of them wanted."""
+    return f"""{CENTRES}, {dense_sql('d', n, HYBRID_Q, 'SELECT doc, e FROM cent')}, {bm25_sql('u', '(SELECT doc_id, split_part(text, chr(10), 1) AS summary FROM documents)', 'doc_id', 'summary', 3 * n)}, {roll_sql('utask', 'utop')},
+     {bm25_sql('x', 'documents', 'doc_id', 'text', 3 * n)}, {roll_sql('xtask', 'xtop')}, {rrf_sql('inn', 'utask', 'xtask')}, {rrf_sql('f', 'dtop', 'inn')}"""
+
+
+THREE = three_sql(25)
 
 
 def corpus(spark, place, hooks: Hooks | None = None) -> plans.Corpus:
-    """Sources as tasks, documents as chunks with their first 200 characters as summary; a task's vector is the mean of its
-    documents' vectors."""
+    """Sources as tasks, documents as chunks with their first line as summary; a task's vector is the mean of its documents'
+    vectors, its summary that of its first document."""
     docs = tables.read(spark, place, "documents")
     vectors = tables.read(spark, place, "embeddings").withColumnRenamed("vec_id", "doc_id")
     item = docs.select("doc_id", "source").join(vectors, "doc_id").select("source", F.posexplode("embedding").alias("i", "x")).groupBy("source", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centre = item.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    listed = docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("chunk_ids"), F.min(F.struct("doc_id", F.substring("text", 1, 200).alias("s")))["s"].alias("summary"))
-    tasks = listed.join(centre, "source").select(F.col("source").alias("task"), F.col("source").alias("label"), "summary", F.lit("2024-01-01").alias("created_at"), "chunk_ids", "embedding")
-    chunks = docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("task"), F.substring("text", 1, 200).alias("summary"), F.col("text").alias("content"))
+    line = F.substring_index("text", "\n", 1)
+    listed = docs.groupBy("source").agg(F.min_by(line, "doc_id").alias("summary"))
+    tasks = tables.cut(listed.join(centre, "source").select(F.col("source").alias("task"), F.col("source").alias("label"), "summary", F.lit("2024-01-01").alias("created_at"), "embedding"), "tasks")
+    chunks = docs.select(F.col("doc_id").alias("chunk"), F.col("source").alias("task"), line.alias("summary"), F.col("text").alias("content"))
     return plans.Corpus(tasks, chunks, hooks or Hooks())
 
 
@@ -163,7 +172,7 @@ def rrf_hierarchical(spark, place):
     return fused(plans.candidates(corpus(spark, place), _hybrid_queries(spark, place)))
 
 
-@query(f"""WITH {THREE}, sm AS (SELECT source AS doc, arg_min(substr(text, 1, 200), doc_id) AS summary FROM documents GROUP BY source),
+@query(f"""WITH {THREE}, sm AS (SELECT source AS doc, arg_min(split_part(text, chr(10), 1), doc_id) AS summary FROM documents GROUP BY source),
  tok AS (SELECT query, doc, f.score AS hybrid, list_distinct({TOKENS.format(c='b.text')}) AS qt, list_distinct({TOKENS.format(c='summary')}) AS dt FROM f JOIN benchmark b ON b.item_id = query JOIN sm USING (doc) WHERE rank <= 25),
  rr AS (SELECT query, doc, hybrid, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END AS score FROM tok)
 SELECT query, doc, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, round(hybrid, 12) DESC, doc) AS rank FROM rr) WHERE rank <= 5""")
@@ -183,7 +192,7 @@ def _weighted(spark, place):
 
     e = tables.read(spark, place, "embeddings")
     q = _vector_queries(spark, place).select(F.col("vec_id").alias("query"), "label")
-    graph = e.select(F.col("vec_id").alias("doc"), "label").join(F.broadcast(q), "label").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc"))).where("rank <= 20")
+    graph = e.select(F.col("vec_id").alias("doc"), "label").join(tables.small(q), "label").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc"))).where("rank <= 20")
     return fusion.weighted_rrf(_dense(spark, place, 20), graph)
 
 

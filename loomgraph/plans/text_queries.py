@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import hashing, text
 from loomgraph.operators import incremental, quality, sessions, tasks
 from loomgraph.plans.registry import query, rounded, turns
-from loomgraph.sources import html_tables, sessions as session_sources, tables
+from loomgraph.sources import sessions as session_sources, tables
 
 GOOD = "good AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') >= 2)"
 RAW = f"""{GOOD},
@@ -129,34 +129,6 @@ def needs_split(spark, place):
     return tasks.needs_split(chunks, tokens="cleaned_size_tokens").select("session_id", "n_chunks", F.col("total").cast("bigint").alias("total"), "split")
 
 
-@query()
-def batch_plan(spark, place):
-    """Documents of a source as a session's chunks: enough of them that batches are halved."""
-    docs = tables.read(spark, place, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("turn_index"), text.count_tokens("text").alias("tokens"))
-    return tasks.plan_batches(docs)
-
-
-@query()
-def json_repair(spark, place):
-    """Every document as a model's cut-off, fenced reply; the JSON that comes out."""
-    reply = F.concat(F.lit("Here:\n```json\n"), F.substring_index(F.to_json(F.struct(F.struct("doc_id", "lang").alias("head"), F.array("source", "lang").alias("tail"))), "]", 1))
-    return tables.read(spark, place, "documents").select("doc_id", tasks.extract_json_udf(reply).alias("json"))
-
-
-@query()
-def ownership_repair(spark, place):
-    """Chunks of each conversation, claimed by two tasks where their number is odd and by none where it is a multiple of four."""
-    chunks = sessions.merge_chunks(sessions.raw_chunks(turns(spark, place))).select("session_id", "chunk_id", "turn_index")
-    n = F.col("turn_index")
-    claims = chunks.select("session_id", "chunk_id", F.explode(F.when(n % 4 == 0, F.array().cast("array<int>")).when(n % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("task_pos"))
-    return tasks.repair_ownership(claims, chunks)
-
-
-@query()
-def html_tables_rows(spark, place):
-    return html_tables.read_tables(tables.read(spark, place, "pages"))
-
-
 @query(f"""WITH {MERGED}, c AS (SELECT conv_id, count(*) AS n_items FROM chunks GROUP BY conv_id) SELECT n_items, count(*) AS n_keys FROM c GROUP BY n_items""")
 def tasks_per_session_hist(spark, place):
     return quality.count_of_counts(sessions.chunk_sessions(turns(spark, place)), "session_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import graph_query, summary
 from loomgraph.operators.graph_build import Graph
 from loomgraph.plans import search
+from loomgraph.sources import tables
 
 
 @dataclass
@@ -22,6 +23,7 @@ class Service:
     graph: Graph | None = None
     categories: DataFrame | None = None
 
+    #: The names of the tools.
     TOOLS = ("query_kg", "search_entities", "get_entity_info", "get_kg_stats", "trace_decision", "list_sessions", "get_session_tasks", "graph_rag_search", "summarize", "skeleton_summarize")
 
     def tools(self) -> dict[str, list[str]]:
@@ -63,22 +65,24 @@ class Service:
         return summary.session_tasks(self.corpus.tasks, session)
 
     def graph_rag_search(self, query: str, top_k: int = 8) -> DataFrame:
-        return search.graph_rag(self.corpus, self.graph, self._query(query), 0, top_k)
+        return search.graph_rag(self.corpus, self.graph, self._query(query), top_k)
 
     def summarize(self, query: str, top_k: int = 8, level: str = "summary", since: str | None = None, until: str | None = None) -> DataFrame:
         """The packed contents that a summary is written from: by Graph-RAG where there is a graph, else by search."""
         q = self._query(query)
         if self.graph is not None:
-            ranked = search.graph_rag(self.corpus, self.graph, q, 0, top_k)
+            ranked = search.graph_rag(self.corpus, self.graph, q, top_k)
         else:
             ranked = search.rerank(search.candidates(self.corpus, q, 2 * top_k), q, self.corpus.tasks, self.corpus.hooks, top_k)
         return search.summarize(ranked, self.corpus.tasks, self.corpus.chunks, level, since=since, until=until)
 
     def skeleton_summarize(self, topic: str, max_tasks: int = 5) -> DataFrame:
-        """The sections of the entity that a topic names, at most max_tasks tasks each."""
-        name = resolve_topic(self.graph.nodes, topic)
-        sections = search.skeleton(self.graph, self.categories, name or topic)
-        return sections.withColumn("tasks", F.slice("tasks", 1, max_tasks))
+        """The sections of the entity that a topic names, with the first max_tasks tasks by time; without such an entity the packed
+        contents that summarize() gives for the topic."""
+        name = resolve_topic(self.graph.nodes, topic) if self.graph is not None else None
+        if name is None:
+            return self.summarize(topic)
+        return search.skeleton(self.graph, self.categories, name, tasks=self.corpus.tasks, limit=max_tasks)
 
 
 def resolve_topic(nodes: DataFrame, topic: str) -> str | None:
@@ -98,5 +102,5 @@ def build_context(graph: Graph, tasks: DataFrame, text: str, max_entities: int =
     one = tasks.sparkSession.createDataFrame([(0, text)], "query int, text string")
     named = search.dictionary_entities(one, graph.nodes).orderBy(F.desc(F.length("entity")), "entity").limit(max_entities).select(F.col("entity").alias("name"))
     around = graph_query.bfs(graph.edges, named, 2, 30)
-    found = graph.tasks.join(F.broadcast(around), "name", "left_semi").select("task").distinct()
+    found = graph.tasks.join(tables.small(around), "name", "left_semi").select("task").distinct()
     return tasks.join(found, "task", "left_semi").orderBy("task").limit(max_tasks)

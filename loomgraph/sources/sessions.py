@@ -17,14 +17,22 @@ TRIPLE = "head string, relation string, tail string, confidence double, source_t
 ENTITY = "name string, entity_type string, canonical_name string, source_tasks array<string>, _corrupt_record string"
 
 
-def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
-    """Rows of a file of JSON lines, or (multiline) of one array or object; blank and broken ones are skipped."""
+#: Where a line stands: by file, by the part of it that a task reads, then within the task.
+PLACE = "_at"
+
+
+def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False, placed: bool = False) -> DataFrame:
+    """Rows of a file of JSON lines, or (multiline) of one array or object; blank and broken ones are skipped. placed adds a column that
+    orders rows as they stand in the files."""
     lines = spark.read.option("wholetext", multiline).text(path)
+    if placed:
+        meta = F.col("_metadata")
+        lines = lines.select("value", F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("part"), F.monotonically_increasing_id().alias("line")).alias(PLACE))
     if multiline:
         plain = schema.replace(", _corrupt_record string", "")
         return lines.select(F.explode(F.from_json("value", f"array<struct<{_colons(plain)}>>")).alias("r")).where("r is not null").select("r.*")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.where(F.trim("value") != "").select(parsed.alias("r")).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    return lines.where(F.trim("value") != "").select(parsed.alias("r"), *([PLACE] if placed else [])).where("r._corrupt_record is null").select("r.*", *([PLACE] if placed else [])).drop("_corrupt_record")
 
 
 def _colons(schema: str) -> str:
@@ -111,12 +119,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Tasks; of rows with one task_id the last in the file holds."""
-    rows = read_json(spark, path, TASK).withColumn("_at", F.monotonically_increasing_id())
+    rows = read_json(spark, path, TASK, placed=True)
     return rows.groupBy("task_id").agg(*[F.max_by(c, "_at").alias(c) for c in rows.columns if c not in ("task_id", "_at")])
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_json(spark, path, SUMMARY).where(F.coalesce("summary", F.lit("")) != "").withColumn("_at", F.monotonically_increasing_id())
+    rows = read_json(spark, path, SUMMARY, placed=True).where(F.coalesce("summary", F.lit("")) != "")
     return rows.groupBy("chunk_id").agg(F.max_by("summary", "_at").alias("summary"))
 
 

@@ -2,37 +2,78 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows of ordinary width that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes that a broadcast side may take.
+BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, place: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{place.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read back: iterations keep
-    short plans and survive lost executors."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary one if all of Spark runs in one process (tests);
+    on a cluster executors would each write to their own disk, so there it is an error."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(place)
-    path = f"{place.rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
+    return place
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{folder(spark).rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: the plan is computed once and stays short, and lost executors
+    cost no more than the tasks that they were running."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are few enough; beyond that joins shuffle it."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def drop(df: DataFrame | None) -> None:
+    """Deletes the files of a table made by cut() that nothing reads any more."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def bytes_of(c: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return 24 + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, ArrayType):
+        n = F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return 24 + F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + bytes_of(x, kind.elementType)), F.lit(0).cast("long"))
+        return 24 + 8 * n
+    if isinstance(kind, StructType):
+        return reduce(lambda a, f: a + bytes_of(c[f.name], f.dataType), kind.fields, F.lit(16).cast("long"))
+    return F.lit(16).cast("long")
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows, measured with their texts and arrays, take few enough bytes; beyond that joins shuffle it."""
+    size = df.agg(F.sum(reduce(lambda a, f: a + bytes_of(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(32).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:

@@ -125,7 +125,7 @@ def test_graph_rag(spark):
     tasks = spark.createDataFrame([(f"T{i}",) for i in range(5)], "task string")
     seeds = spark.createDataFrame([("q", "A")], "query string, name string")
     graph = graph_build.Graph(nodes, of, edges)
-    ranks = search.graph_ranks(graph, tasks, seeds, "q")
+    ranks = search.graph_ranks(graph, tasks, seeds)
     a, b = math.log(1 + 5 / 2), math.log(2)
     assert {r.doc: round(r.score, 9) for r in ranks.collect()} == {"T0": round(a + b, 9), "T1": round(a + b, 9), "T2": round(b, 9), "T3": round(b, 9), "T4": round(b, 9)}
     vector = spark.createDataFrame([("q", f"T{i}", i + 1) for i in range(3)], "query string, doc string, rank int")
