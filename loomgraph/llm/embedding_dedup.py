@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .components import connected_components
+from .components import connected_components, forest
 
 LINES = 16
 BLOCK = 1024
@@ -78,22 +78,6 @@ def _compare(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, width
     return i[near], j[near]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Component labels (least member) of n nodes under the edges, by repeated pointer jumping."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995, seed: int = 7) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row whose id is not null.
 
@@ -150,7 +134,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 i, j = i[own], j[own]
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
-                root = _forest(len(df), i, j)
+                root = forest(len(df), i, j)
                 ends.append((np.nonzero(root != np.arange(len(df)))[0], root[root != np.arange(len(df))]))
         some = np.nonzero(links)[0]
         src, dst = (np.concatenate(c) for c in zip(*ends)) if ends else (np.zeros(0, int), np.zeros(0, int))

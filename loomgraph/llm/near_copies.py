@@ -4,13 +4,13 @@ The similarity is Jaccard's, of the sets of five-word shingles. A bit of two Sim
 acos(2s / (1 + s)) / pi, 0.15 at s = 0.8, so 64 bits cannot tell such pairs from others and wide fingerprints are made. They
 are cut into segments of `bits` bits; every text enters the Hamming ball of radius 1 of each of its segments, so two texts meet
 if a segment of theirs differs by two bits or fewer. bits follows the logarithm of the number of texts, which keeps chance
-meetings few at any size; the number of segments follows from the recall wanted of pairs at the bound. 64 more bits go with
+meetings few at any size; the number of segments follows from the recall wanted of pairs at the bound. 256 more bits go with
 every row: pairs far apart in them are not candidates. Then the complete distance is checked, and last the sets.
 
-Texts that are equal after lower-casing and white space are one class, which enters once. Large groups are joined without their
-pairs: first, under the keys of FIRST segments, each class is linked to the nearest of those before it; then, under all keys, only
-pairs that verified links have not joined are tried, all of them. Keys fuller than FULL_KEY are cut into blocks, and each pair of
-blocks is work of its own.
+Texts that are equal after lower-casing and white space are one class, which enters once. Keys of up to FULL_KEY classes give all
+their pairs. Fuller keys come of large families of texts that are somewhat alike, whose pairs are too many to be written down: the
+classes that such keys share are one family, which is cut into blocks, and each pair of blocks is work of its own that compares
+all its texts by their sets and gives back a spanning forest of the links. No pair that meets under a key is left out.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import scratch
-from .components import connected_components
+from .components import connected_components, forest
 
-RECALL, FIRST, FULL_KEY, SEED = 0.995, 2, 512, 42
+RECALL, FULL_KEY, CARRIED, SEED = 0.995, 48, 4, 42
+#: Texts that a key holds by chance, at most on average: a family does not come of such keys.
+BY_CHANCE = 20
+#: A family's block holds so many texts, and so many shingles, or one text.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 #: Bytes of (class, id) rows that may be broadcast to pick the texts that have to be compared: 48 for each.
 BROADCAST_BYTES = 16 << 20
-_PIECE = 255
+_PIECE, _OFTEN = 255, 1 << 14
 
 
 def differ(least: float) -> float:
@@ -41,13 +45,15 @@ def differ(least: float) -> float:
 
 def plan(rows: int, least: float, recall: float = RECALL) -> tuple[int, int]:
     """(bits in a segment, segments)."""
-    bits, p = min(32, max(16, math.ceil(math.log2(max(2, rows))))), differ(least)
+    p, bits = differ(least), 16
+    while rows * (bits + 1) > BY_CHANCE << bits and bits < 32:
+        bits += 1
     meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def reach(width: int, least: float, deviations: float = 3.5) -> int:
-    """The largest distance in `width` bits that pairs at the bound have, all but a few in ten thousand."""
+def reach(width: int, least: float, deviations: float = 3.0) -> int:
+    """The largest distance in `width` bits that pairs at the bound have, all but one or two in a thousand."""
     p = differ(least)
     return min(width, math.ceil(width * p + deviations * math.sqrt(width * p * (1 - p))))
 
@@ -103,8 +109,8 @@ def segments(prints: np.ndarray, bits: int, count: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, count: int) -> DataFrame:
-    """(id_col, class, parts, lanes) of every row that has words; the last lane is not cut into segments."""
-    lanes = -(-bits * count // 64) + 1
+    """(id_col, class, parts, lanes) of every row that has words; the last CARRIED lanes are not cut into segments."""
+    lanes = -(-bits * count // 64) + CARRIED
     schema = StructType([docs.schema[id_col], StructField("class", BinaryType()), StructField("parts", ArrayType(LongType(), False)), StructField("lanes", ArrayType(LongType(), False))])
 
     def rows_of(table: np.ndarray) -> pa.Array:
@@ -121,15 +127,21 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int,
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _balls(nodes: DataFrame, bits: int, parts: Column, *also) -> DataFrame:
-    """(node, fp, *also, key): every class under the keys at distance 1 or less from each of its segments."""
+def _meetings(nodes: DataFrame, bits: int, least: float, full_key: int) -> tuple[DataFrame, DataFrame]:
+    """((u, v) pairs that meet under a key that is not full and lie near enough, (node, hub) of full keys: each class with the first
+    one there). Every class is under the keys at distance 1 or less from each of its segments."""
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(bits))]])
-    each = nodes.select("node", F.element_at("lanes", -1).alias("fp"), *also, F.explode(parts).alias("part"))
-    return each.select("node", "fp", *also, F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m))).alias("key"))
-
-
-def _bits(a, b) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    prints = [f"f{k}" for k in range(CARRIED)]
+    each = nodes.select("node", *[F.element_at("lanes", -1 - k).alias(c) for k, c in enumerate(prints)], F.explode("parts").alias("part"))
+    rows = each.select("node", *prints, F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m))).alias("key"))
+    under = Window.partitionBy("key").orderBy("f0", "node")
+    met = rows.withColumn("before", F.collect_list(F.struct("node", *prints)).over(under.rowsBetween(-full_key, -1))).withColumn("hub", F.first("node").over(under)).withColumn("m", F.count("*").over(Window.partitionBy("key"))).where(F.col("hub") != F.col("node"))
+    apart = " + ".join(f"bit_count({c} ^ y.{c})" for c in prints)
+    near = F.expr(f"transform(filter(before, y -> {apart} <= {reach(64 * CARRIED, least)}), y -> y.node)")
+    found = met.select("node", F.when(F.col("m") <= full_key, near).alias("near"), F.when(F.col("m") > full_key, F.col("hub")).alias("hub")).where("size(near) > 0 or hub is not null")
+    found = scratch.cut(found.distinct(), "met")
+    pairs = found.select("node", F.explode("near").alias("other")).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    return pairs, found.where("hub is not null").select("node", "hub").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -150,7 +162,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, id_col: str, text_col: str, words: int) -> DataFrame:
-    """The (u, v) of the distinct pairs whose similarity is least or more. pairs and nodes are written tables."""
+    """The (u, v) of the distinct pairs whose similarity is least or more. nodes is a written table."""
     lanes = nodes.select("node", "lanes")
     width = 64 * (nodes.select(F.size("lanes").alias("n")).agg(F.max("n")).first()[0] or 0)
     apart = F.expr("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
@@ -167,38 +179,73 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float,
     return out
 
 
-def _nearest_before(nodes: DataFrame, bits: int, least: float) -> DataFrame:
-    """(u, v), at most one for each class: it and the nearest of the classes that come just before it under a key of the first
-    segments."""
-    under = Window.partitionBy("key").orderBy("fp", "node")
-    rows = _balls(nodes, bits, F.slice("parts", 1, FIRST)).withColumn("before", F.lag(F.struct("node", "fp")).over(under))
-    met = rows.where("before is not null").select("node", F.col("before.node").alias("other"), _bits("fp", "before.fp").alias("apart")).where(F.col("apart") <= reach(64, least))
-    best = met.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("m"))
-    return best.select(F.least("node", "m.other").alias("u"), F.greatest("node", "m.other").alias("v")).distinct()
-
-
-def _still_apart(nodes: DataFrame, joined: DataFrame, bits: int, least: float, full_key: int) -> DataFrame:
-    """(u, v): all pairs that meet under a key, lie near enough and are not joined yet."""
-    known = nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rows = _balls(known, bits, F.col("parts"), "comp")
-    under = Window.partitionBy("key").orderBy("fp", "node")
-    met = rows.withColumn("before", F.collect_list(F.struct("node", "fp", "comp")).over(under.rowsBetween(-full_key, -1))).withColumn("n", F.row_number().over(under))
-    near = F.expr(f"transform(filter(before, y -> y.comp <> comp and bit_count(fp ^ y.fp) <= {reach(64, least)}), y -> y.node)")
-    found = scratch.cut(met.select("key", "node", near.alias("near"), (F.col("n") == full_key + 2).alias("full")).where("size(near) > 0 or full"), "met")
-    ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    pairs = found.select("node", F.explode("near").alias("other")).select(ordered)
-    # Only the pairs of these keys that lie further apart than full_key are left.
-    full = scratch.cut(found.where("full").select("key"), "full")
-    if not full.isEmpty():
-        small = F.broadcast(full) if full.count() * 64 <= BROADCAST_BYTES else full
-        kept = scratch.cut(rows.join(small, "key"), "fuller")
-        mixed = kept.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", F.ceil(F.col("m") / full_key).alias("blocks"))
-        dealt = kept.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        left = dealt.select("key", F.col("mine").alias("b1"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("b2"), "node", "fp", "comp")
-        right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))).alias("b1"), F.col("mine").alias("b2"), F.col("node").alias("other"), F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
-        rest = left.join(right, ["key", "b1", "b2"]).where((F.col("node") != F.col("other")) & (F.col("comp") != F.col("comp2")) & (_bits("fp", "fp2") <= reach(64, least)))
-        pairs = pairs.unionByName(rest.select(ordered))
-    return pairs.distinct()
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of hashes that two sets of distinct hashes share."""
+    sizes = [len(x) for x in left] + [len(x) for x in right]
+    word, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    mine = of < len(left)
+    both = (np.bincount(at[mine], minlength=len(word)) > 0) & (np.bincount(at[~mine], minlength=len(word)) > 0)
+    place = np.cumsum(both) - 1
+    kept = both[at]
+    of, at = of[kept], place[at[kept]]
+    out = np.zeros(len(left) * len(right), dtype=np.float32)
+    n, is_left = int(both.sum()), of < len(left)
+    often = np.bincount(at[is_left], minlength=n) * np.bincount(at[~is_left], minlength=n) > _OFTEN
+    # Hashes that many texts have, by matrix products.
+    column = np.cumsum(often) - 1
+    some = often[at]
+    order = np.argsort(column[at[some]], kind="stable")
+    row, col = of[some][order], column[at[some]][order]
+    for a in range(0, int(often.sum()), 2048):
+        lo, hi = np.searchsorted(col, [a, a + 2048])
+        held = np.zeros((len(sizes), 2048), dtype=np.float32)
+        held[row[lo:hi], col[lo:hi] - a] = 1
+        out += (held[: len(left)] @ held[len(left) :].T).reshape(-1)
+    # The others, pair by pair.
+    mine, theirs = is_left & ~some, ~is_left & ~some
+    order = np.argsort(at[theirs], kind="stable")
+    words, right_of = at[theirs][order], of[theirs][order] - len(left)
+    begin, end = np.searchsorted(words, at[mine], "left"), np.searchsorted(words, at[mine], "right")
+    left_of, many = of[mine], end - begin
+    upto = np.cumsum(many)
+    a = 0
+    while a < len(many):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + (1 << 22), "right")))
+        k = many[a:b]
+        spot = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[a:b], k)
+        pair, times = np.unique(np.repeat(left_of[a:b], k) * len(right) + right_of[spot], return_counts=True)
+        out[pair] += times
+        a = b
+    return out.reshape(len(left), len(right))
+
+
+def _families(hubs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(u, v): links between the classes that share full keys: of each pair of blocks of a family a spanning forest."""
+    families = scratch.cut(connected_components(hubs, "node", "hub"), "families")
+    wanted = scratch.cut(nodes.select("node", "class", "low").join(families.select("node"), "node"), "wanted")
+    sets = scratch.cut(_sets(docs, wanted, id_col, text_col, words).join(families, "node"), "sets")
+    size = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("hashes")) / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = sets.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("component", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "node", "hashes")
+
+    def compare(batch: pa.Table) -> pa.Table:
+        node, mine = batch["node"].to_numpy(), batch["mine"].to_numpy()
+        sets_ = [x.values.to_numpy().view(np.uint64) for x in batch["hashes"]]
+        b1, b2 = batch["b1"][0].as_py(), batch["b2"][0].as_py()
+        left, right = np.nonzero(mine == b1)[0], np.nonzero(mine == b2)[0]
+        out = np.zeros((2, 0), dtype=np.int64)
+        if len(left) and len(right):
+            size_ = np.array([len(x) for x in sets_])
+            both = common([sets_[i] for i in left], [sets_[i] for i in right])
+            i, j = np.nonzero(both >= least * (size_[left][:, None] + size_[right][None, :] - both) - 1e-6)
+            i, j = left[i], right[j]
+            root = forest(len(node), i[i != j], j[i != j])
+            some = np.nonzero(root != np.arange(len(node)))[0]
+            out = np.array([node[some], node[root[some]]])
+        return pa.table({"u": pa.array(out[0]), "v": pa.array(out[1])})
+
+    return scratch.cut(spread.groupBy("component", "b1", "b2").applyInArrow(compare, "u long, v long"), "links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, recall: float = RECALL, full_key: int = FULL_KEY) -> DataFrame:
@@ -216,11 +263,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(classes)
     how = (nodes, docs, least, id_col, text_col, words)
 
-    tried = scratch.cut(_nearest_before(nodes, bits, least), "tried")
-    links = _verified(tried, *how)
-    joined = scratch.cut(connected_components(links, "u", "v"), "joined")
-    more = scratch.cut(_still_apart(nodes, joined, bits, least, full_key).join(tried, ["u", "v"], "left_anti"), "more")
-    links = links.unionByName(_verified(more, *how))
+    pairs, hubs = _meetings(nodes, bits, least, full_key)
+    links = _verified(pairs, *how)
+    if not hubs.isEmpty():
+        links = links.unionByName(_families(hubs, *how))
 
     found = scratch.cut(connected_components(links, "u", "v"), "found")
     lows = found.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least_id"))

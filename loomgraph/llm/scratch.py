@@ -1,46 +1,5 @@
-"""Tables that cut lineage, kept in the folder that the cluster shares."""
+"""Tables that cut lineage, kept in the folder that the cluster shares: those of the engine."""
 
-from __future__ import annotations
+from loomgraph.sources.tables import cut, drop, folder, new_path
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary one if all of Spark runs in one process (tests);
-    on a cluster executors would each write to their own disk, so there it is an error."""
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not place:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        sc.setCheckpointDir(place)
-    return place
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{folder(spark).rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the plan is computed once, and lost executors
-    cost no more than the tasks that they were running."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame | None) -> None:
-    """Deletes the files of a table made by cut() that nothing reads any more."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["cut", "drop", "folder", "new_path"]
