@@ -39,7 +39,7 @@ def test_search_tools(served):
     plain = service.Service(served.corpus)
     assert plain.call("summarize", query="postgres index", top_k=1).first().doc == "T1"
     sections = {r.entity: (r.tasks, r.hints) for r in served.call("skeleton_summarize", topic="the kafka topic").collect()}
-    assert sections == {"kafka": (["T0", "T2"], ["uses postgres"]), "postgres": (["T1"], ["uses kafka"])}
+    assert sections == {"kafka": (["T2", "T0"], ["uses postgres"]), "postgres": (["T1"], ["uses kafka"])}
     assert service.resolve_topic(served.graph.nodes, "zzz") is None
 
 
