@@ -46,7 +46,7 @@ def test_toxicity_on_labelled_documents(spark):
     assert all(0 <= r.severity <= 2 and math.isfinite(r.severity) for r in rows)
 
 
-def test_toxicity_learned_from_a_third_finds_the_rest(spark):
+def test_toxicity_learned_from_two_thirds_finds_the_rest(spark):
     from loomgraph.llm import toxicity
     from pyspark.sql import functions as F
 
