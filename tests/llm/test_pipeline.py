@@ -100,6 +100,37 @@ def test_families_are_compared_block_by_block(spark, wide, monkeypatch):
         assert (near_copies.common(sets[:4], sets[4:]) == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]).all()
 
 
+def test_each_segment_is_dealt_out_once(wide, monkeypatch):
+    """Rows that cross the network grow with the segments, not with the balls around them."""
+    made, cut = {}, near_copies.scratch.cut
+    monkeypatch.setattr(near_copies.scratch, "cut", lambda df, label: made.setdefault(label, df) and cut(df, label))
+    near_copies.near_copies(wide((1, "a b c d e f"), (2, "a b c d e f g"))).collect()
+    plan = made["met"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(transform(") < plan.index("RepartitionByExpression [top") < plan.index("Generate explode(parts")
+
+
+def test_links_of_a_family_grow_with_its_texts(spark, wide, monkeypatch):
+    """A clique of near copies, whose pairs are many more: neither what meets nor what is linked lists them."""
+    made, cut = {}, near_copies.scratch.cut
+    monkeypatch.setattr(near_copies.scratch, "cut", lambda df, label: made.setdefault(label, []).append(cut(df, label)) or made[label][-1])
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, base, 1 + i % 2))) for i in range(120)]
+    assert {r.component_id for r in near_copies.near_copies(wide(*rows), full_key=200).collect()} == {0}
+    assert made["links"][0].count() < 2 * len(rows) and made["met"][-1].count() < 2 * len(rows)
+
+
+def test_strangers_under_a_full_key_are_no_family(spark, wide, monkeypatch):
+    """Classes that are under a full key by chance are compared with its members, not joined to them."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, base, 1))) for i in range(40)] + [(100 + i, " ".join(f"x{rng.random()}" for _ in range(150))) for i in range(6)]
+    nodes = [(i, near_copies.wide_fingerprint(near_copies.shingles(near_copies._tokens(t)), 4).view(np.int64).tolist()) for i, t in rows]
+    met = near_copies._meetings(spark.createDataFrame([(i, [5], f) for i, f in nodes], "node long, parts array<long>, lanes array<long>"), 15, 9, 0.8, 20)
+    found = {x for r in met.collect() for x in r}
+    assert found == set(range(40))
+
+
 def test_wide_fingerprints_are_majorities():
     rng = np.random.default_rng(1)
     for n in (1, 2, 255, 256, 700):
