@@ -195,12 +195,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payloads, headers), both written to the shared folder. payloads(digest, size, payload): one row for each distinct block that is
     not empty, by SHA-256 and length, in buckets of these. headers: every record's exact header bytes and fields, with the digest and
-    size of its block. The archives are read once for each, so that no payload is written twice."""
+    size of its block. The archives are read once for each, so that no payload is written twice. Payloads are packed as tightly as in the
+    archives, which lie on the disk at the same time."""
     spark = records.sparkSession
     keyed = records.withColumn("digest", F.sha2("block", 256)).withColumn("size", F.octet_length("block").cast("long"))
     once = keyed.where("size > 0").groupBy("digest", "size").agg(F.first("block").alias("payload"))
     name, buckets = f"loomgraph_payloads_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once.write.format("parquet").bucketBy(buckets, "digest", "size").option("path", scratch.new_path(spark, "payloads")).saveAsTable(name)
+    once.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "digest", "size").option("path", scratch.new_path(spark, "payloads")).saveAsTable(name)
     return spark.table(name), scratch.cut(keyed.drop("block"), "headers")
 
 

@@ -40,6 +40,14 @@ def test_payloads_are_stored_once_and_verified(spark, frame, tmp_path):
         warc.reconstruct(payloads.withColumn("payload", F.lit(b"lame")), headers).collect()
 
 
+def test_stored_payloads_are_packed(spark, frame, tmp_path):
+    import pyarrow.parquet as pq
+
+    payloads, _ = warc.store(warc.read_warc(spark, write(frame, tmp_path, (1, "u", BIG), (2, "u", "small"))))
+    groups = [m.row_group(g) for m in (pq.ParquetFile(p.removeprefix("file://")).metadata for p in payloads.inputFiles()) for g in range(m.num_row_groups)]
+    assert groups and {g.column(c).compression for g in groups for c in range(g.num_columns)} == {"ZSTD"}
+
+
 def test_rows_that_share_an_id_are_records_of_their_own(spark, frame, tmp_path):
     b, c = "b" * 1000, "c" * 1500
     rows = [(9, "u", b), (9, "u", b), (5, "u", b), (7, "u", c), (7, "v", "small"), (None, "u", c), (None, None, None), (3, "u", c)]
