@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from . import worker
+
 _NONE = 1 << 60
 #: Pieces up to this many bytes are remembered by a worker, up to this many of them in each of two generations.
 _SHORT, _REMEMBERED = 48, 1 << 18
@@ -119,16 +121,9 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(content: bytes, pattern: str) -> Codec:
-    """One for each worker process and vocabulary; a second vocabulary takes the first one's place."""
-    key = (len(content), hash(content), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(read_ranks(content), pattern)
-    return _codecs[key]
+    """One for each worker process and vocabulary, until the worker runs something else."""
+    return worker.keep(("bpe", len(content), hash(content), pattern), lambda: Codec(read_ranks(content), pattern))
 
 
 def _shared(df: DataFrame, ranks_path: str):

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from . import scratch
+from . import scratch, worker
 
 _SPACE = b" \t\n\v\f\r"
 #: Bytes that the table of common hashes may take to be broadcast: 64 for each row in a hash table.
 BROADCAST_BYTES = 64 << 20
+#: Rows whose texts are put together at once, and go back in one batch: both sides hold such a batch in memory.
+BATCH = 256
 
 
 def line_key(line: bytes) -> bytes:
@@ -47,6 +49,7 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = StructType([docs.schema[id_col], StructField("at", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType())])
 
     def run(batches):
+        worker.release()
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             row, at, digest = [], [], []
@@ -101,7 +104,8 @@ def _reassembled(docs: DataFrame, id_col: str, text_col: str, least_chars: int,
     schema = StructType([joined.schema["row"], *(StructField(n, k) for n, k in (("text", StringType()), ("kept", StringType()), ("n_lines", LongType()), ("n_dropped", LongType())))])
 
     def run(batches):
-        for batch in batches:
+        worker.release()
+        for batch in (whole.slice(lo, BATCH) for whole in batches for lo in range(0, whole.num_rows, BATCH)):
             kept, lines, dropped = [], [], []
             for text, positions in zip(batch.column(1), batch.column(2)):
                 if not positions.is_valid:

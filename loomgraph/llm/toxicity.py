@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from . import scratch
+from . import scratch, worker
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -115,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("r")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
 
     def counted(batches):
+        worker.release()
         for batch in batches:
             for r, y, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = count_words(text)
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = StructType([docs.schema[id_col], StructField("severity", DoubleType()), StructField("probability", DoubleType()), StructField("toxic", BooleanType())])
 
     def run(batches):
+        worker.release()
         scorer = Scorer(shared.value)
         for batch in batches:
             out = [scorer.severity(x.as_py()) for x in batch.column(1)]
@@ -178,6 +180,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", least_prob
     shared, schema, at = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index(text_col)
 
     def run(batches):
+        worker.release()
         scorer = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([scorer.severity(x.as_py())[1] < least_probability for x in batch.column(at)], pa.bool_()))

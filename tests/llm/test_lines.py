@@ -1,8 +1,10 @@
+import gc
 import time
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
-from loomgraph.llm import line_dedup
+from loomgraph.llm import bpe, line_dedup, near_copies, toxicity
 
 SPACE = " \t\n\v\f\r"
 
@@ -74,3 +76,36 @@ def test_the_shuffled_way_agrees(wide, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
     rows = [(i, f"{LONG}\n{i}\n{LONG} {i % 3}") for i in range(30)]
     assert rows_of(dedup(wide(*rows))) == slow(rows)
+
+
+def python_tasks(monkeypatch, docs):
+    """Gets the functions that docs' kind of table gives to mapInArrow."""
+    found, original = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: found.append(f) or original(self, f, *a, **b))
+    return found
+
+
+def test_workers_let_the_vocabulary_of_another_stage_go(wide, monkeypatch):
+    docs = wide(*[(i, f"{LONG}\nand some more words that only number {i} has") for i in range(4)])
+    tasks = python_tasks(monkeypatch, docs)
+    toxicity.drop_toxic(docs, toxicity.Model({}, toxicity.np.zeros(0), toxicity.np.array([40.0, 41.0])))
+    line_dedup.without_common_lines(docs)
+    near_copies.near_copies(docs)
+    assert len(tasks) >= 6
+    for task in tasks:
+        bpe._codec(b"YQ== 0\nYg== 1\n", ".")
+        list(task(iter([])))
+        gc.collect()
+        assert not [x for x in gc.get_objects() if isinstance(x, bpe.Codec)]
+
+
+def test_texts_go_back_in_small_batches(wide, monkeypatch):
+    rows = [(i, f"{LONG}\nline {i}") for i in range(1000)]
+    docs = wide(*rows)
+    tasks = python_tasks(monkeypatch, docs)
+    out = dedup(docs)
+    whole = pa.RecordBatch.from_pylist([{"row": {"doc_id": i}, "text": t, "gone": [0] if i < 999 else None} for i, t in rows])
+    batches = list(tasks[-1](iter([whole])))
+    assert [b.num_rows for b in batches] == [256, 256, 256, 232]
+    assert [x for b in batches for x in b.column(2).to_pylist()] == [f"line {i}" for i in range(999)] + [None]
+    assert rows_of(out) == slow(rows)
