@@ -74,8 +74,8 @@ def search(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: int =
 
 def _grams(c):
     """The distinct lower-cased runs of one and of two characters: whatever contains a text has its first one."""
-    low = F.lower(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2))))))
+    chars = F.split(F.lower(c), "")
+    return F.array_distinct(F.concat(chars, F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))))
 
 
 def resolve_seeds(nodes: DataFrame, names: DataFrame, fuzzy: int = 3) -> DataFrame:
@@ -92,12 +92,25 @@ def resolve_seeds(nodes: DataFrame, names: DataFrame, fuzzy: int = 3) -> DataFra
     return exact.where("name is not null").select("query", "name").union(first.select("query", "name")).distinct()
 
 
+#: Names that are all held against every text; of more, only those whose first two characters a text has.
+NAMES_EACH = 256
+
+
 def dictionary_entities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query, entity): node names of two characters or more that stand in the query, found by their first two: the offline
-    extractor."""
-    asked = queries.select("query", F.lower("text").alias("_t"), F.explode(_grams("text")).alias("gram"))
-    named = nodes.where(F.length("name") >= 2).select("name", F.substring(F.lower("name"), 1, 2).alias("gram"))
-    return named.join(tables.small(asked), "gram").where(F.contains("_t", F.lower("name"))).select("query", F.col("name").alias("entity")).distinct()
+    """(query, entity): node names of two characters or more that stand in the query: the offline extractor. A text goes once past
+    a few names; many are found by their first two characters, of which only those that some name has are looked for."""
+    texts = queries.select("query", F.lower("text").alias("_t"))
+    named = tables.cut(nodes.where(F.length("name") >= 2).select("name", F.lower("name").alias("low")).distinct(), "names")
+    if named.limit(NAMES_EACH + 1).count() <= NAMES_EACH:
+        met = tables.spread(texts).crossJoin(F.broadcast(named))
+    else:
+        begun = named.withColumn("gram", F.substring("low", 1, 2))
+        first = tables.small(begun.select("gram").distinct())
+        # The texts come to the pairs afterwards, by a row number, as ids of queries may repeat.
+        asked = tables.cut(texts.withColumn("_row", F.monotonically_increasing_id()), "asked")
+        grams = asked.select("_row", F.explode(_grams("_t")).alias("gram")).join(first, "gram")
+        met = grams.join(tables.small(begun), "gram").select("_row", "name", "low").join(asked, "_row")
+    return met.where(F.contains("_t", "low")).select("query", F.col("name").alias("entity")).distinct()
 
 
 def graph_ranks(graph: Graph, tasks: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 30, limit: int = 50) -> DataFrame:

@@ -141,6 +141,18 @@ def test_alias_expansion(spark):
     assert sorted(r.term for r in search.expand_query(bm25.build(d), nodes.limit(0), q).collect()) == ["kafka", "log"]
 
 
+def test_names_in_long_texts(spark, monkeypatch):
+    texts = [(1, "The BUILDING stands. " + "Ünder 😀x" * 20_000), (2, "no building? machinery"), (2, "under😀X it"), (3, None), (4, "")]
+    q = spark.createDataFrame(texts, "query int, text string")
+    nodes = spark.createDataFrame([("Building",), ("x",), ("ünder",), ("😀x",), ("absent",), ("Building",)], "name string")
+    want = sorted((i, n) for i, n in {(i, n) for i, t in texts for n in ("Building", "ünder", "😀x", "absent") if n.lower() in (t or "").lower()})
+    monkeypatch.setattr(search, "NAMES_EACH", 0)
+    assert sorted(map(tuple, search.dictionary_entities(q, nodes).collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(search, "_grams", None)  # a few names need no list of a text's parts
+    assert sorted(map(tuple, search.dictionary_entities(q, nodes).collect())) == want
+
+
 def test_query_prefix(spark):
     r = spark.createDataFrame([("q",)], "t string").select(text.retrieval_query("t", "find: ").alias("a"), text.retrieval_query("t").alias("b")).first()
     assert (r.a, r.b) == ("find: q", "q")
