@@ -90,8 +90,9 @@ def call_model(prompts: DataFrame, model: Callable[[str], str | dict], column: s
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
-def repair_json(text: str) -> str:
-    """Closes what a cut-off JSON text left open, after dropping the unfinished part behind the last comma."""
+def repair_json(text: str, least: int = 0) -> str:
+    """Closes what a cut-off JSON text left open, after dropping the unfinished part behind the last comma; at least so many
+    characters stay."""
     stack, in_string, escaped, commas = [], False, False, []
     for i, c in enumerate(text):
         if in_string:
@@ -102,7 +103,7 @@ def repair_json(text: str) -> str:
             stack.append(c)
         elif c in "}]" and stack:
             stack.pop()
-        elif c == ",":
+        elif c == "," and i >= least:
             commas.append((i, list(stack)))
     close = lambda s: "".join("}" if c == "{" else "]" for c in reversed(s))
     for candidate in [text + ('"' if in_string else "") + close(stack), *(text[:i] + close(s) for i, s in reversed(commas))]:
@@ -116,7 +117,7 @@ def repair_json(text: str) -> str:
 
 def extract_json(reply: str | None) -> str | None:
     """The JSON in a model's reply, as compact text: whole, fenced, the longest decodable part, between the outermost braces, or
-    repaired. Null where there is none."""
+    repaired. A decodable part inside a cut-off text counts only if that cannot be repaired. Null where there is none."""
     if not reply or not reply.strip():
         return None
     dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
@@ -125,7 +126,7 @@ def extract_json(reply: str | None) -> str | None:
             return dump(json.loads(part))
         except ValueError:
             pass
-    decoder, best = json.JSONDecoder(), (0, None)
+    decoder, best, behind = json.JSONDecoder(), (0, None), 0
     at = 0
     while (m := re.compile(r"[{\[]").search(reply, at)) is not None:
         try:
@@ -134,12 +135,13 @@ def extract_json(reply: str | None) -> str | None:
             at = m.start() + 1
             continue
         if end - m.start() > best[0]:
-            best = (end - m.start(), value)
+            best, behind = (end - m.start(), value), end
         at = end
     begin = re.search(r"[{\[]", reply)
-    if begin and best[0] < (len(reply) - begin.start()) / 2:
+    short = begin and best[0] < (len(reply) - begin.start()) / 2
+    if begin and (short or behind - best[0] > begin.start()):
         try:
-            fixed = json.loads(repair_json(reply[begin.start() :].split("```")[0].strip()))
+            fixed = json.loads(repair_json(reply[begin.start() :].split("```")[0].strip(), 0 if short else behind - begin.start()))
             if fixed:
                 return dump(fixed)
         except ValueError:

@@ -161,6 +161,19 @@ def test_json_repair(reply, want):
     assert tasks.extract_json(reply) == want
 
 
+@pytest.mark.parametrize(
+    "reply, want",
+    [
+        ('```json\n{"head":{"doc_id":10000,"lang":"en"},"tail":["src3","en"', '{"head":{"doc_id":10000,"lang":"en"},"tail":["src3","en"]}'),
+        ('{"a":{"long":"enough to be half"},"b', '{"a":{"long":"enough to be half"}}'),
+        ('see [x, y: {"a": 1, "b": [2, 3]} there', '{"a":1,"b":[2,3]}'),
+        ('[1, 2 or {"a": 1, "b": 2}', '{"a":1,"b":2}'),
+    ],
+)
+def test_a_part_of_a_cut_off_reply_is_not_all_of_it(reply, want):
+    assert tasks.extract_json(reply) == want
+
+
 def test_ownership():
     import pandas as pd
 
