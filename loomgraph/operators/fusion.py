@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources import tables
+
 
 def rrf(first: DataFrame, second: DataFrame, k: int = 60, doc: str = "doc", query: str = "query") -> DataFrame:
     """(query, doc, score, first_rank, second_rank, rank) of two ranked lists: the sum of 1 / (k + rank). Ties: by the rank in
@@ -35,7 +37,8 @@ def chunks_to_tasks(hits: DataFrame, chunk_tasks: DataFrame, tasks: DataFrame |
     known = chunk_tasks.where(F.col("task").isNotNull())
     if tasks is not None:
         known = known.join(tasks.select("task"), "task", "left_semi")
-    best = hits.join(known, hits.doc == known.chunk).groupBy("query", "task").agg(F.max("score").alias("score"), F.min("rank").alias("best_rank"))
+    hits = tables.cut(hits, "hits")
+    best = known.join(tables.small(hits), hits.doc == known.chunk).groupBy("query", "task").agg(F.max("score").alias("score"), F.min("rank").alias("best_rank"))
     order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "best_rank", "task")
     return best.select("query", F.col("task").alias("doc"), "score", F.row_number().over(order).alias("rank"))
 

@@ -53,7 +53,7 @@ def retrieval_hits(ranked: DataFrame, tasks: DataFrame, keywords: DataFrame, k:
     nominal: a word is in the label or summary of a task among the first k; effective: the first task with a word in its
     label is among them; drift: nominal and not effective.
     """
-    rows = ranked.join(tasks, "doc").join(tables.small(keywords), "query")
+    rows = tasks.join(tables.small(tables.cut(ranked, "ranked")), "doc").join(tables.small(keywords), "query")
     label = F.contains(F.lower("label"), F.lower("word"))
     either = label | F.contains(F.lower("summary"), F.lower("word"))
     out = rows.groupBy("query").agg(F.coalesce(F.bool_or(either & (F.col("rank") <= k)), F.lit(False)).alias("nominal"), F.coalesce(F.min(F.when(label, F.col("rank"))) <= k, F.lit(False)).alias("effective"))

@@ -410,7 +410,7 @@ def bm25_reloaded(spark, place):
     path = tables.new_path(spark, "index")
     bm25.save(bm25.build(tables.read(spark, place, "documents")), path)
     asked = bm25.token_terms(search_queries._queries(spark, place).select("query_id", text.tokens("text").alias("tokens")))
-    return search_queries.hits(bm25.top(bm25.scores(bm25.load(spark, path), asked), 10))
+    return search_queries.hits(bm25.best(bm25.load(spark, path), asked, 10))
 
 
 @query(f"WITH {search_queries.dense_sql('d', 20, search_queries.HYBRID_Q, 'SELECT vec_id AS doc, embedding AS e FROM embeddings JOIN documents ON doc_id = vec_id')}, owned AS (SELECT doc_id, source FROM documents), rolled AS (SELECT query, source AS doc, max(score) AS score, row_number() OVER (PARTITION BY query ORDER BY round(max(score), 9) DESC, min(rank), source) AS rank FROM dtop JOIN owned ON doc_id = doc GROUP BY query, source) SELECT {search_queries.HITS} FROM rolled")

@@ -40,7 +40,7 @@ def search_chunks(corpus: Corpus, queries: DataFrame, n: int, field_: str = "sum
     if corpus.chunk_search == "dense":
         chunks = corpus.chunks.where(F.coalesce("summary", F.lit("")) != "") if field_ == "summaries" else corpus.chunks
         return dense.search(chunks, queries, n, "chunk", "query")
-    return bm25.top(bm25.scores(getattr(corpus, field_), bm25.query_terms(queries, "query")), n)
+    return bm25.best(getattr(corpus, field_), bm25.query_terms(queries, "query"), n)
 
 
 def candidates(corpus: Corpus, queries: DataFrame, top_k: int = 5, multiplier: int = 5) -> DataFrame:

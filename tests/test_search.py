@@ -3,9 +3,10 @@ import math
 import pytest
 from loomgraph.functions import text
 from loomgraph.hooks import Hooks
-from loomgraph.operators import bm25, dense, fusion, quality, summary
+from loomgraph.operators import bm25, dense, fusion, quality, sparse, summary
 from loomgraph.plans import search
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def docs(spark, **d):
@@ -39,6 +40,61 @@ def test_bm25_ties_go_to_the_smaller_id(spark):
     assert [r.doc for r in bm25.search(docs(spark, b="k m", a="k m", c="z", d="z2", e="z3"), queries(spark, "k"), 1).collect()] == ["a"]
 
 
+def test_bm25_of_repeated_ids(spark):
+    """Rows that share an id add up: as one document where their lengths are equal too, as two postings of a term else."""
+    rows = [("a", "x y z"), ("a", "x w v"), ("a", "x"), ("b", "x u"), ("c", "u w"), ("d", "p q r s"), ("e", None), ("f", "q")]
+    index = bm25.build(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r.doc, r.term, r.tf, r.dl) for r in index.postings.collect() if r.term == "x") == [("a", "x", 1, 1), ("a", "x", 2, 3), ("b", "x", 1, 2)]
+    assert (index.n_docs, {r.term: r.df for r in index.terms.collect()}["x"]) == (7, 3)
+    raw = math.log(4.5 / 3.5)
+    gain = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (16 / 7)))
+    got = {r.doc: r.score for r in bm25.best(index, bm25.query_terms(queries(spark, "x")), 5).collect()}
+    assert set(got) == {"a", "b"} and math.isclose(got["a"], raw * (gain(1, 1) + gain(2, 3))) and math.isclose(got["b"], raw * gain(1, 2))
+    assert math.isclose(bm25.token_idf(index, queries(spark, "x").select(F.col("text").alias("term"))).first().idf_proxy, raw * max(gain(1, 1), gain(2, 3), gain(1, 2)))
+
+
+def sparse_case():
+    import random
+
+    draw = random.Random(5)
+    points = [(f"d{i:03}", {f"t{draw.randrange(30)}": float(draw.randrange(-1, 4)) for _ in range(draw.randrange(9))}) for i in range(200)]
+    points += [(f"z{i:03}", points[7][1]) for i in range(60)]
+    asked = [(j, {f"t{draw.randrange(33)}": float(draw.randrange(1, 3)) for _ in range(6)}) for j in range(11)]
+    want = []
+    for j, x in asked:
+        scored = sorted((-sum(w * y.get(t, 0.0) for t, w in x.items()), d) for d, y in points)
+        want += [(j, d, -s, i + 1) for i, (s, d) in enumerate(r for r in scored[:4] if r[0] < 0)]
+    return [(d, list(x), list(x.values())) for d, x in points], [(j, t, w) for j, x in asked for t, w in x.items()], sorted(want)
+
+
+def test_only_the_best_rows_leave_a_task(spark, monkeypatch):
+    points, asked, want = sparse_case()
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 4)
+    p = spark.createDataFrame(points, "doc string, terms array<string>, weights array<double>").repartition(3)
+    found = sparse.candidates(p, spark.createDataFrame(asked, "query int, term string, weight double"), 4)
+    assert found.count() <= 3 * 11 * 4
+    assert sorted(map(tuple, bm25.top(found, 4).collect())) == want
+
+
+@pytest.mark.parametrize("cells, common, full", [(50, 2, 40), (7, 1_000_000, 100), (4_000_000, 0.5, 1)])
+def test_sparse_scores_in_pieces(monkeypatch, cells, common, full):
+    import pyarrow as pa
+
+    class Kept(sparse._Kept):
+        def __init__(self, n, k):
+            super().__init__(n, k)
+            self.full = full
+
+    points, asked, want = sparse_case()
+    for name, value in (("_CELLS", cells), ("_COMMON", common), ("_Kept", Kept)):
+        monkeypatch.setattr(sparse, name, value)
+    schema = StructType([StructField("query", IntegerType()), StructField("doc", StringType()), StructField("score", DoubleType())])
+    rows = pa.table({c: pa.array([r[i] for r in points]) for i, c in enumerate(("doc", "terms", "weights"))})
+    table = pa.table({"query": pa.array([r[0] for r in asked], pa.int32()), "term": [r[1] for r in asked], "weight": [r[2] for r in asked]})
+    out = pa.Table.from_batches(sparse._best(4, lambda: table, schema)(iter(rows.to_batches(max_chunksize=90)))).to_pylist()
+    assert sorted((r["query"], r["doc"], r["score"]) for r in out) == [r[:3] for r in want]
+
+
 def ranked(spark, *ids):
     return spark.createDataFrame([(0, d, i + 1) for i, d in enumerate(ids)], "query int, doc string, rank int")
 
