@@ -20,8 +20,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    size = norm(a)
-    return F.transform(a.cast("array<double>"), lambda x: F.when(size > 0, x / size).otherwise(x))
+    # As a lambda's argument the length is computed once, not for every component.
+    return F.get(F.transform(F.array(norm(a)), lambda size: F.transform(a.cast("array<double>"), lambda x: F.when(size > 0, x / size).otherwise(x))), F.lit(0))
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:

@@ -38,6 +38,26 @@ def test_similar_pairs_agree_with_all_pairs(spark):
     assert rows() == rows(planes=0) and len(rows()) >= 30
 
 
+@pytest.mark.parametrize("block, cells, kind", [(32_768, 4_000_000, "int"), (7, 20, "string")])
+def test_similar_pairs_by_blocks(spark, monkeypatch, block, cells, kind):
+    """All pairs, whatever the blocks: copies, repeated names, other lengths, nulls; none is shuffled as a candidate."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, (3 * x[i % 4]).tolist()) for i in range(20)]
+    rows += [(3, x[5].tolist()), (200, None), (201, [0.0] * 5), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [1.0, 2.0]), (204, [2.0, 4.0])]
+    monkeypatch.setattr(graph_build, "POINT_BLOCK", block)
+    monkeypatch.setattr(graph_build, "_CELLS", cells)
+    name = str if kind == "string" else int
+    whole = [(name(i), np.array(v)) for i, v in rows if v and None not in v and any(v)]
+    cos = lambda u, v: u @ v / np.sqrt((u @ u) * (v @ v))
+    want = {(a, b) for a, u in whole for b, v in whole if a < b and len(u) == len(v) and cos(u, v) >= 0.8}
+    df = spark.createDataFrame(rows, "name int, embedding array<double>").select(F.col("name").cast(kind).alias("name"), "embedding")
+    got = [(r.a, r.b) for r in graph_build.similar_pairs(df, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_triple_graph(spark):
     t = spark.createDataFrame([("A", "r", "B", 0.5, "T1"), ("A", "r", "B", 0.7, "T2"), ("Bb", "r", "Bb", 1.0, "T3")], "head string, relation string, tail string, confidence double, source_task string")
     canonical = spark.createDataFrame([("A", "A"), ("B", "B"), ("Bb", "B")], "name string, canonical string")
