@@ -18,9 +18,11 @@ DEG = f"""{NODES}, deg AS (SELECT name, count(*) AS degree FROM (SELECT head AS
 
 def triples(spark, place):
     """Orders as tasks: customer, return flag, part, with 1 - discount as confidence."""
-    orders = tables.read(spark, place, "orders").select("o_orderkey", "o_custkey")
     lines = tables.read(spark, place, "lineitem")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    n = lines.count()
+    orders = tables.deal(tables.read(spark, place, "orders").select("o_orderkey", "o_custkey"), n, "o_orderkey")
+    wanted = lines.select("l_orderkey", "l_returnflag", "l_partkey", "l_discount")
+    return tables.deal(wanted, n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("c"), "o_custkey").alias("head"), F.col("l_returnflag").alias("relation"), F.concat(F.lit("p"), "l_partkey").alias("tail"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_orderkey").alias("source_task")
     )
 
@@ -39,10 +41,17 @@ def graph(spark, place):
 
 def merged_graph(spark, place):
     """Customers by twos are one entity, named after the even one of them."""
-    t = triples(spark, place)
-    names = graph_build.entities(graph_build.mentions(t))
+    t, named, _, canonical = merged_names(spark, place)
+    return graph_build.triple_graph(t, canonical, named)
+
+
+def merged_names(spark, place):
+    """The triples and their mentions, both written; the names and their canonical names."""
+    t = tables.cut(triples(spark, place), "triples")
+    named = tables.cut(graph_build.mentions(t), "mentions")
+    names = tables.cut(graph_build.entities(named), "names")
     number = F.substring("name", 2, 20).cast("long")
-    return graph_build.triple_graph(t, names.select("name", F.when(F.col("name").startswith("c"), F.concat(F.lit("c"), number - number % 2)).otherwise(F.col("name")).alias("canonical")))
+    return t, named, names, names.select("name", F.when(F.col("name").startswith("c"), F.concat(F.lit("c"), number - number % 2)).otherwise(F.col("name")).alias("canonical"))
 
 
 def hierarchy(spark, place):

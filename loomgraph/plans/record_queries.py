@@ -98,8 +98,9 @@ def summaries_jsonl(spark, place):
 @query("""SELECT DISTINCT 'p' || l_partkey AS entity, CAST(l_orderkey AS VARCHAR) AS task FROM lineitem""")
 def entities_jsonl(spark, place):
     """Entities with their tasks as JSON lines, each line twice; the inverted index rebuilt from them."""
-    rows = tables.read(spark, place, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("name")).agg(F.collect_list(F.col("l_orderkey").cast("string")).alias("source_tasks"))
-    lines = rows.select(F.to_json(F.struct("name", F.lit("file").alias("entity_type"), "source_tasks")).alias("value"))
+    items = tables.read(spark, place, "lineitem")
+    rows = tables.deal(items.select(F.concat(F.lit("p"), "l_partkey").alias("name"), F.col("l_orderkey").cast("string").alias("task")), items.count(), "name").groupBy("name").agg(F.collect_list("task").alias("source_tasks"))
+    lines = tables.cut(rows.select(F.to_json(F.struct("name", F.lit("file").alias("entity_type"), "source_tasks")).alias("value")), "lines")
     return session_sources.read_entities(spark, written(lines.unionByName(lines), "entities"))[1]
 
 
@@ -159,12 +160,9 @@ def merged_edges(spark, place):
 @query(f"""WITH {MERGED_NODES}, t AS (SELECT DISTINCT name, canonical FROM can) SELECT name, canonical AS canonical_name, (SELECT count(DISTINCT task) FROM can c WHERE c.canonical = t.canonical) AS n_tasks FROM t""")
 def entity_files(spark, place):
     """entities.json and entity_tasks.json of the merged graph, read back."""
-    t = graph_queries.triples(spark, place)
-    names = graph_build.entities(graph_build.mentions(t))
-    number = F.substring("name", 2, 20).cast("long")
-    canonical = names.select("name", F.when(F.col("name").startswith("c"), F.concat(F.lit("c"), number - number % 2)).otherwise(F.col("name")).alias("canonical"))
+    t, named, names, canonical = graph_queries.merged_names(spark, place)
     path = tables.new_path(spark, "entities")
-    graphs.write_entities(graph_build.triple_graph(t, canonical), names, canonical, path)
+    graphs.write_entities(graph_build.triple_graph(t, canonical, named, keep=True), names, canonical, path)
     counted = spark.read.schema("name string, task long").json(f"{path}/entity_tasks.json").groupBy(F.col("name").alias("canonical_name")).agg(F.count("*").alias("n_tasks"))
     return spark.read.schema("name string, canonical_name string").json(f"{path}/entities.json").join(counted, "canonical_name").select("name", "canonical_name", "n_tasks")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.sources import tables
 
 CALL = "struct<type:string,cmd:string,command:string,action:string,description:string,target:string,resource:string,ok:boolean,success:boolean,output:string,result:string,error:string>"
 TURN = f"struct<role:string,content:string,text:string,timestamp:string,created_at:string,tool_calls:array<{CALL}>,tool_call_id:string,output:string,result:string>"
@@ -135,7 +136,8 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 def read_entities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entities, inverted index)."""
     rows = read_json(spark, path, ENTITY)
-    return rows, rows.select(F.col("name").alias("entity"), F.explode("source_tasks").alias("task")).distinct()
+    listed = tables.cut(rows.select(F.col("name").alias("entity"), F.explode("source_tasks").alias("task")), "listed")
+    return rows, tables.deal(listed, listed.count(), "entity", "task").distinct()
 
 
 def mock_sessions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

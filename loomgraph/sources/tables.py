@@ -77,7 +77,7 @@ def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
 
 #: Rows of a partition that is grouped or sorted in memory.
-ROWS_EACH = 500_000
+ROWS_EACH = 250_000
 
 
 def deal(df: DataFrame, rows: int, *keys: str) -> DataFrame:

@@ -20,6 +20,23 @@ def test_components_take_the_shortest_name(spark):
     assert got == {"abc": "ab", "ab": "ab", "abcd": "ab", "zz": "aa", "aa": "aa", "alone": "alone"}
 
 
+def test_partitions_grow_in_number_not_in_rows(spark, monkeypatch):
+    """Mentions, pairs and tasks are grouped in partitions whose rows have a bound; Spark would choose a fixed number of partitions."""
+    from loomgraph.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_EACH", 100)
+    t = spark.range(1000).select(F.concat(F.lit("a"), F.col("id") % 50).alias("head"), F.lit("r").alias("relation"), F.concat(F.lit("b"), "id").alias("tail"), F.lit(1.0).alias("confidence"), (F.col("id") / 4).cast("long").alias("source_task"))
+    named = tables.cut(graph_build.mentions(t), "mentions")
+    assert named.count() == 2000 and len(named.inputFiles()) >= 15
+    same = named.select("name", F.col("name").alias("canonical")).distinct()
+    g = graph_build.graph_of(named, same, t, keep=True)
+    assert len(g.tasks.inputFiles()) >= 15 and sorted(map(tuple, g.tasks.collect())) == sorted(map(tuple, named.collect()))
+    assert {r.name: r.task_count for r in g.nodes.collect()}["a7"] == 20
+    seen = t.select(F.col("source_task").alias("task"), F.col("tail").alias("entity"), F.col("source_task").alias("pos"))
+    pairs = tables.cut(graph_build.cooccurrence(seen), "pairs")
+    assert pairs.count() == 1500 and len(pairs.inputFiles()) >= 15
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     pairs = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "a string, b string")
